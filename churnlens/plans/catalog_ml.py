@@ -174,3 +174,58 @@ def q_tune_rf(spark, sf):
     return spark.createDataFrame(
         row, "model string, cv_roc_auc double, best_params string, " + ", ".join(f"{m} double" for m in S.METRIC_NAMES)
     )
+
+
+# ---------------------------------------------------------------------------------------
+# F5 sampled Shapley
+# ---------------------------------------------------------------------------------------
+from ..operators import shapley as SH  # noqa: E402
+from ..operators.features import CANONICAL_FEATURES  # noqa: E402
+from ..operators.linear import scorecard  # noqa: E402
+from .catalog import _contrib_sql, features_tbl  # noqa: E402
+from . import oracle as O  # noqa: E402
+
+SHAPLEY_BG, SHAPLEY_PERMS = 10, 2
+
+
+@register(
+    "sampled_shapley",
+    O.with_ctes(
+        f"SELECT customerID, feature, {O.rnd('impact', 4)} AS phi FROM ct",
+        f"bg AS (SELECT * FROM oh ORDER BY {O.md5_key(3)}, customerID LIMIT {SHAPLEY_BG})",
+        f"ct AS ({_contrib_sql('oh', 'bg')})",
+        upto=5,
+    ),
+)
+def q_sampled_shapley(spark, sf):
+    """Permutation Shapley of the scorecard in log-odds space over every customer.
+
+    For an additive model this must equal the closed-form linear contributions
+    against the same background, which is what the oracle computes."""
+    feats = features_tbl(spark, sf)
+    bg = EX.background_sample(feats, SHAPLEY_BG, 3)
+    phi = SH.sampled_shapley(feats, CANONICAL_FEATURES, SH.linear_array_score(scorecard(), "logit"), bg,
+                             m=SHAPLEY_PERMS, seed=7)
+    return phi.select("customerID", "feature", round_half_even(F.col("phi"), 4).alias("phi"))
+
+
+def _forest_shapley(spark, sf):
+    ts = training(spark, sf)
+    _, fitted = comparison(spark, sf)
+    rf = fitted["RandomForest"]
+    score = SH.ml_array_score(rf.model)
+    bg = EX.background_sample(ts.train, SHAPLEY_BG, 3)
+    phi = SH.sampled_shapley(ts.test, ts.features, score, bg, m=SHAPLEY_PERMS, seed=7)
+    return phi, score, bg, ts
+
+
+@register("shapley_forest", None)
+def q_shapley_forest(spark, sf):
+    phi, _, _, _ = _forest_shapley(spark, sf)
+    return phi.select("customerID", "feature", round_half_even(F.col("phi"), 6).alias("phi"))
+
+
+@register("shapley_efficiency", None)
+def q_shapley_efficiency(spark, sf):
+    phi, score, bg, ts = _forest_shapley(spark, sf)
+    return SH.efficiency_gap(phi, ts.test, ts.features, score, bg)
