@@ -115,7 +115,7 @@ def estimator(name: str, trees: int = 300, rounds: int = 300, n_train: int | Non
         reg = 1.0 / n_train if n_train else 0.0
         return LogisticRegression(
             labelCol=label, featuresCol="features", weightCol=weight, maxIter=1000, regParam=reg,
-            elasticNetParam=0.0, standardization=False, tol=1e-6,
+            elasticNetParam=0.0, standardization=False, tol=1e-4,
         )
     if name == "DecisionTree":
         return DecisionTreeClassifier(labelCol=label, weightCol=weight, maxDepth=6, seed=seed)

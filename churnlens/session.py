@@ -15,6 +15,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
         SparkSession.builder.master(master or os.environ.get("CHURNLENS_MASTER", "local[8]"))
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
