@@ -86,17 +86,17 @@ def scaler_stats(df: DataFrame, features: list[str], digits: int = 6) -> DataFra
 # D4/D5 weights
 # ---------------------------------------------------------------------------------------
 def balanced_weights(df: DataFrame, label: str = S.TARGET, out: str = "weight") -> DataFrame:
-    """class_weight='balanced': n / (k * n_class), via per-class counts in a window.
+    """class_weight='balanced': n / (k * n_class) for a 0/1 label.
 
-    The window is partitioned by class, but only a count is computed; to stay
-    off a two-partition window at scale the counts come in as scalar subqueries.
+    n, k and the two class counts enter as scalar subqueries (one-row results),
+    so rows never meet a join or a class-partitioned window.
     """
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    y = F.col(label)
     n = df.select(F.count(F.lit(1))).scalar()
-    k = counts.select(F.count(F.lit(1))).scalar()
-    n_pos = df.select(F.count_if(F.col(label) == 1)).scalar()
-    n_neg = df.select(F.count_if(F.col(label) == 0)).scalar()
-    n_class = F.when(F.col(label) == 1, n_pos).otherwise(n_neg)
+    k = df.select(F.count_distinct(y)).scalar()
+    n_pos = df.select(F.count_if(y == 1)).scalar()
+    n_neg = df.select(F.count_if(y == 0)).scalar()
+    n_class = F.when(y == 1, n_pos).otherwise(n_neg)
     return df.withColumn(out, n.cast("double") / (k * n_class))
 
 

@@ -157,10 +157,15 @@ class FittedModel:
 
 def fit(name: str, ts: TrainingSet, trees: int = 300, rounds: int = 300, seed: int = 42) -> FittedModel:
     train = add_weights(ts.train, name)
-    vec = with_vector(train, ts, name in SCALED)
+    # the fit scans its input several times before caching it itself: persist the
+    # assembled vectors once so weights (scalar subqueries) are computed once
+    vec = with_vector(train, ts, name in SCALED).persist()
     est = estimator(name, trees, rounds, ts.n_train, seed)
     t0 = time.time()
-    model = est.fit(vec)
+    try:
+        model = est.fit(vec)
+    finally:
+        vec.unpersist()
     secs = time.time() - t0
     params = {p.name: v for p, v in est.extractParamMap().items() if isinstance(v, (int, float, str, bool))}
     return FittedModel(name, model, name in SCALED, secs, params)
@@ -182,8 +187,12 @@ RUN_SCHEMA = T.StructType(
 
 
 def evaluate_model(fm: FittedModel, ts: TrainingSet) -> dict:
-    scored = fm.score(ts.test, ts)
-    row = EV.evaluate(scored).first().asDict()
+    # one model pass over the test rows; the metric passes reuse it
+    scored = fm.score(ts.test, ts).select(S.KEY, S.TARGET, "p_raw").persist()
+    try:
+        row = EV.evaluate(scored).first().asDict()
+    finally:
+        scored.unpersist()
     return {k: row[k] for k in S.METRIC_NAMES}
 
 
