@@ -57,34 +57,30 @@ class LinearExplainer:
         return F.lit(float(coef)) * (x - F.lit(float(mean)))
 
     def contributions(self) -> Column:
-        """array<struct<idx, feature, value, impact>> over all model features, in list order."""
-        return F.array(
-            *[
+        """array<struct<k, idx, feature, value, impact>> over all model features, in list
+        order; k = -|impact| makes the struct's natural order the reason ranking."""
+        entries = []
+        for i, f in enumerate(self.scorer.feature_names):
+            impact = self.impact(f)
+            entries.append(
                 F.struct(
+                    (-F.abs(impact)).alias("k"),
                     F.lit(i).alias("idx"),
                     F.lit(f).alias("feature"),
                     c(f).cast("double").alias("value"),
-                    self.impact(f).alias("impact"),
+                    impact.alias("impact"),
                 )
-                for i, f in enumerate(self.scorer.feature_names)
-            ]
-        )
-
-
-def _by_abs_impact(a: Column, b: Column) -> Column:
-    """Comparator: |impact| descending, then feature position (a stable sort)."""
-    ia, ib = F.abs(a["impact"]), F.abs(b["impact"])
-    return (
-        F.when(ia > ib, F.lit(-1))
-        .when(ia < ib, F.lit(1))
-        .when(a["idx"] < b["idx"], F.lit(-1))
-        .when(a["idx"] > b["idx"], F.lit(1))
-        .otherwise(F.lit(0))
-    )
+            )
+        return F.array(*entries)
 
 
 def top_reason_array(explainer: LinearExplainer, n: int) -> Column:
-    return F.slice(F.array_sort(explainer.contributions(), _by_abs_impact), 1, n)
+    """The n entries with the largest |impact|, ties in feature order (a stable sort).
+
+    ``sort_array`` over struct(-|impact|, idx, ...) uses the built-in struct
+    ordering (native comparator) instead of an interpreted lambda comparator.
+    """
+    return F.slice(F.sort_array(explainer.contributions()), 1, n)
 
 
 def reasons_long(features: DataFrame, explainer: LinearExplainer, n: int = 5, key: str = S.KEY) -> DataFrame:
@@ -117,13 +113,9 @@ def reasons_struct(explainer: LinearExplainer, n: int = 5) -> Column:
 def reasons_sorted(features: DataFrame, explainer: LinearExplainer, n: int = 8, key: str = S.KEY) -> DataFrame:
     """Top-n reasons re-ordered by signed impact, with chart and table direction labels."""
     arr = top_reason_array(explainer, n)
-    by_signed = F.array_sort(
-        arr,
-        lambda a, b: F.when(a["impact"] < b["impact"], F.lit(-1))
-        .when(a["impact"] > b["impact"], F.lit(1))
-        .when(a["idx"] < b["idx"], F.lit(-1))
-        .when(a["idx"] > b["idx"], F.lit(1))
-        .otherwise(F.lit(0)),
+    by_signed = F.sort_array(
+        F.transform(arr, lambda r: F.struct(r["impact"].alias("k"), r["idx"].alias("idx"),
+                                            r["feature"].alias("feature"), r["impact"].alias("impact")))
     )
     exploded = features.select(F.col(key), F.posexplode(by_signed).alias("pos", "r"))
     up = F.col("r.impact") > 0
