@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from test_plans import FORBIDDEN, plan_text
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -47,6 +48,9 @@ def test_every_oracle_has_a_query():
 @pytest.mark.parametrize("key", sorted(ORACLES))
 def test_query_matches_oracle(spark, con, key):
     df = QUERIES[key](spark, SF)
+    plan = plan_text(df)
+    for op in FORBIDDEN:
+        assert op not in plan, f"{key}: {op} in the physical plan"
     cols, rows = df.columns, [tuple(r) for r in df.collect()]
     rel = con.execute(ORACLES[key])
     ocols = [d[0] for d in rel.description]
@@ -75,7 +79,16 @@ def test_fixture_goldens(spark):
     assert auc == 0.8623
 
 
-def test_training_invariants(spark):
+@pytest.fixture
+def small_models(monkeypatch):
+    """Invariants do not depend on ensemble size: fit 5 trees / rounds in tests."""
+    from churnlens.plans import catalog_ml
+
+    monkeypatch.setattr(catalog_ml, "QUERY_TREES", 5)
+    monkeypatch.setattr(catalog_ml, "QUERY_ROUNDS", 5)
+
+
+def test_training_invariants(spark, small_models):
     rows = QUERIES["model_comparison"](spark, SF).collect()
     assert [r["model"] for r in rows] == ["LogisticRegression", "DecisionTree", "RandomForest", "XGBoost", "LightGBM"]
     for r in rows:
@@ -88,12 +101,12 @@ def test_training_invariants(spark):
     assert meta["n_features"] == 55 and meta["train_size"] + meta["test_size"] == 150
 
 
-def test_artifacts_roundtrip_identical(spark):
+def test_artifacts_roundtrip_identical(spark, small_models):
     rows = QUERIES["artifacts_roundtrip"](spark, SF).collect()
     assert rows and all(r["identical"] for r in rows)
 
 
-def test_shapley_efficiency(spark):
+def test_shapley_efficiency(spark, small_models):
     rows = QUERIES["shapley_efficiency"](spark, SF).collect()
     assert rows and max(r["gap"] for r in rows) < 1e-9
 
