@@ -288,8 +288,14 @@ def search_customers(scored: DataFrame, query: str = "", risk: str = "All") -> D
     return out
 
 
-def sort_customers(scored: DataFrame, key: str = "ChurnProbability", descending: bool = True, id_col: str = S.KEY) -> DataFrame:
-    order = F.desc_nulls_last(key) if descending else F.asc_nulls_first(key)
+def sort_customers(scored: DataFrame, key: str = "ChurnProbability", descending: bool = True,
+                   id_col: str = S.KEY, collation: str | None = "UNICODE") -> DataFrame:
+    """Sort by any column: numbers numerically, text in locale order (ICU root
+    collation, like a browser's ``localeCompare``) when ``collation`` is set."""
+    col = F.col(key)
+    if collation and dict(scored.dtypes).get(key) == "string":
+        col = F.collate(col, collation)
+    order = col.desc_nulls_last() if descending else col.asc_nulls_first()
     tie = [F.asc(id_col)] if key != id_col else []
     return scored.orderBy(order, *tie)
 

@@ -828,6 +828,15 @@ def q_top_risk_customers(spark, sf):
     return public(R.top_customers(scored(spark, sf), 25))
 
 
+@register(
+    "sort_by_contract",
+    O.with_ctes("SELECT customerID, Contract, ChurnProbability FROM sc ORDER BY Contract, customerID LIMIT 25"),
+)
+def q_sort_by_contract(spark, sf):
+    top = R.sort_customers(scored(spark, sf), "Contract", descending=False).limit(25)
+    return top.select("customerID", F.col("Contract").cast("string").alias("Contract"), "ChurnProbability")
+
+
 @register("page_2", O.with_ctes("SELECT * EXCLUDE (p_raw) FROM sc ORDER BY ChurnProbability DESC, customerID LIMIT 25 OFFSET 25"))
 def q_page_2(spark, sf):
     return public(R.page(scored(spark, sf), 2))
