@@ -842,6 +842,14 @@ def q_page_2(spark, sf):
     return public(R.page(scored(spark, sf), 2))
 
 
+@register("page_keyset", O.with_ctes("SELECT * EXCLUDE (p_raw) FROM sc ORDER BY ChurnProbability DESC, customerID LIMIT 25 OFFSET 25"))
+def q_page_keyset(spark, sf):
+    """Deep-paging variant: page 2 as 'the 25 rows after the last row of page 1'."""
+    s = scored(spark, sf)
+    last = R.page(s, 1).select("ChurnProbability", "customerID").tail(1)[0]  # one row of a 25-row page
+    return public(R.page_after(s, last["ChurnProbability"], last["customerID"]))
+
+
 @register(
     "page_caption",
     O.with_ctes(

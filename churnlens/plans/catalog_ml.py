@@ -229,3 +229,15 @@ def q_shapley_forest(spark, sf):
 def q_shapley_efficiency(spark, sf):
     phi, score, bg, ts = _forest_shapley(spark, sf)
     return SH.efficiency_gap(phi, ts.test, ts.features, score, bg)
+
+
+@register("score_batch_lr", None)
+def q_score_batch_lr(spark, sf):
+    """Batch scoring of every customer with the trained logistic model as expressions."""
+    from ..operators import score as SC
+    from .catalog import public, raw
+
+    ts = training(spark, sf)
+    fm = TR.fit("LogisticRegression", ts)
+    scorer = TR.to_linear_scorer(fm, ts)
+    return public(SC.score_batch(raw(spark, sf), scorer))
