@@ -44,11 +44,19 @@ class HighValueThreshold:
     mode: str = "batch"
     threshold: float | None = None
     quantile: float = S.HIGH_VALUE_QUANTILE
+    exact: bool = True  # exact keeps one counter per distinct value (cents: bounded)
+
+    def _quantile(self, col: str = "MonthlyCharges") -> Column:
+        if self.exact:
+            return F.percentile(col, self.quantile)
+        # opt-in for unbounded distinct values: returns a data element, not an interpolation
+        return F.percentile_approx(col, self.quantile, 100_000)
 
     @classmethod
-    def fit(cls, df: DataFrame, quantile: float = S.HIGH_VALUE_QUANTILE) -> "HighValueThreshold":
-        value = df.agg(F.percentile("MonthlyCharges", quantile).alias("q")).first()["q"]
-        return cls(mode="fitted", threshold=value, quantile=quantile)
+    def fit(cls, df: DataFrame, quantile: float = S.HIGH_VALUE_QUANTILE, exact: bool = True) -> "HighValueThreshold":
+        probe = cls(quantile=quantile, exact=exact)
+        value = df.agg(probe._quantile().alias("q")).first()["q"]
+        return cls(mode="fitted", threshold=value, quantile=quantile, exact=exact)
 
     def flag(self, df: DataFrame) -> Column:
         m = F.col("MonthlyCharges")
@@ -58,7 +66,7 @@ class HighValueThreshold:
             if self.threshold is None:
                 return F.lit(0)
             return F.coalesce((m > F.lit(self.threshold)).cast("int"), F.lit(0))
-        q = df.select(F.percentile("MonthlyCharges", self.quantile)).scalar()
+        q = df.select(self._quantile()).scalar()
         return F.coalesce((m > q).cast("int"), F.lit(0))
 
 

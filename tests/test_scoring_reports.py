@@ -118,3 +118,28 @@ def test_golden_run_table_reports(spark):
     assert TR.select_best(runs).first()["model"] == "LogisticRegression"
     assert TR.metrics_long(runs).count() == 25
     assert [r["model"] for r in TR.models_ranked(runs).collect()][:2] == ["LogisticRegression", "RandomForest"]
+
+
+from hypothesis import given, settings, strategies as st  # noqa: E402
+
+
+@settings(max_examples=6, deadline=None)
+@given(n=st.integers(min_value=1, max_value=400), frac=st.sampled_from([0.1, 0.2, 0.25, 0.5]),
+       digits=st.integers(min_value=1, max_value=3))
+def test_hash_bands_property(spark, n, frac, digits):
+    """Bucketed rank bands equal a brute-force sort for any size, cut and bucket resolution."""
+    import hashlib
+
+    rows = [(f"id{i}", i % 3 == 0) for i in range(n)]
+    df = spark.createDataFrame(rows, "customerID string, g boolean")
+    out = OR.hash_bands(df, "g", X.md5_order_key(F.col("customerID"), 11), "customerID",
+                        OR.ceil_fraction(frac), "band", hex_digits=digits).collect()
+    got = {r["customerID"]: r["band"] for r in out}
+    from fractions import Fraction
+    import math as _m
+
+    for grp in (True, False):
+        keys = sorted((hashlib.md5(f"11:{k}".encode()).hexdigest(), k) for k, g in rows if g == grp)
+        cut = int(_m.ceil(Fraction(str(frac)) * len(keys)))
+        for rank, (_, k) in enumerate(keys):
+            assert got[k] == (0 if rank < cut else 1)
