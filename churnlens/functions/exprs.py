@@ -106,3 +106,20 @@ def safe_ratio(num: Column, den: Column) -> Column:
 def md5_order_key(key: Column, seed: int | str) -> Column:
     """Deterministic pseudo-random order key: md5 of 'seed:key' (same in Spark and SQL engines)."""
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))))
+
+
+# ---------------------------------------------------------------------------------------
+# SQL-text builders: a large expression is sent to the JVM as one string (one parse)
+# instead of thousands of Column calls; literals round-trip exactly.
+# ---------------------------------------------------------------------------------------
+def sql_ident(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_str(value: str) -> str:
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_double(x: float) -> str:
+    """A double literal that parses back to exactly ``x`` (shortest repr, then cast)."""
+    return f"CAST('{float(x)!r}' AS DOUBLE)"

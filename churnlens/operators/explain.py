@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.exprs import c, md5_order_key, round_half_even
+from ..functions.exprs import md5_order_key, round_half_even, sql_double, sql_ident, sql_str
 from .linear import LinearScorer
 
 
@@ -46,32 +46,34 @@ class LinearExplainer:
         """No background table: the row is its own background, so every contribution is 0."""
         return cls(scorer, None)
 
-    def impact(self, feature: str) -> Column:
-        coef = self.scorer.coefficients.get(feature, 0.0)
-        x = self.scorer.model_input(feature)
+    def impact_sql(self, feature: str) -> str:
+        coef = sql_double(self.scorer.coefficients.get(feature, 0.0))
+        x = self.scorer.model_input_sql(feature)
         if self.baseline is None:
-            return F.lit(float(coef)) * (x - x)
+            return f"({coef} * ({x} - {x}))"
         mean = self.baseline.get(feature)
         if mean is None:
-            return F.lit(0.0)
-        return F.lit(float(coef)) * (x - F.lit(float(mean)))
+            return sql_double(0.0)
+        return f"({coef} * ({x} - {sql_double(mean)}))"
 
-    def contributions(self) -> Column:
-        """array<struct<k, idx, feature, value, impact>> over all model features, in list
-        order; k = -|impact| makes the struct's natural order the reason ranking."""
+    def impact(self, feature: str) -> Column:
+        return F.expr(self.impact_sql(feature))
+
+    def contributions_sql(self) -> str:
         entries = []
         for i, f in enumerate(self.scorer.feature_names):
-            impact = self.impact(f)
+            imp = self.impact_sql(f)
             entries.append(
-                F.struct(
-                    (-F.abs(impact)).alias("k"),
-                    F.lit(i).alias("idx"),
-                    F.lit(f).alias("feature"),
-                    c(f).cast("double").alias("value"),
-                    impact.alias("impact"),
-                )
+                f"named_struct('k', -abs({imp}), 'idx', {i}, 'feature', {sql_str(f)}, "
+                f"'value', CAST({sql_ident(f)} AS DOUBLE), 'impact', {imp})"
             )
-        return F.array(*entries)
+        return "array(" + ", ".join(entries) + ")"
+
+    def contributions(self) -> Column:
+        """array<struct<k, idx, feature, value, impact>> over all model features, in list
+        order; k = -|impact| makes the struct's natural order the reason ranking.
+        Built as one SQL expression (a single parse on the JVM side)."""
+        return F.expr(self.contributions_sql())
 
 
 def top_reason_array(explainer: LinearExplainer, n: int) -> Column:

@@ -23,6 +23,8 @@ from ..functions.exprs import (
     contract_months,
     round_half_even,
     service_count,
+    sql_ident,
+    sql_str,
     tenure_group,
 )
 
@@ -188,28 +190,29 @@ CANONICAL_FEATURES = NUMERIC_FEATURES + OneHotVocabulary.from_domains().feature_
 def align_features(df: DataFrame, names: list[str], keep: list[str] | tuple = ()) -> DataFrame:
     """Reorder to the training feature list; absent features are 0, unseen ones dropped."""
     present = set(df.columns)
-    cols = [c(k) for k in keep if k in present]
-    cols += [c(n) if n in present else F.lit(0).alias(n) for n in names]
-    return df.select(*cols)
+    cols = [sql_ident(k) for k in keep if k in present]
+    cols += [sql_ident(n) if n in present else f"0 AS {sql_ident(n)}" for n in names]
+    return df.selectExpr(*cols)
 
 
 def encode_for(df: DataFrame, names: list[str], keep: list[str] | tuple = ()) -> DataFrame:
     """One-hot + align in one projection, driven by a fitted feature-name list.
 
     Scoring path: no vocabulary fit is needed, the model's names define the dummies.
+    The projection is passed as SQL text in one call.
     """
     present = set(df.columns)
-    out = [c(k) for k in keep if k in present]
+    out = [sql_ident(k) for k in keep if k in present]
     for n in names:
         if n in present:
-            out.append(c(n))
+            out.append(sql_ident(n))
             continue
         col, _, level = n.partition("_")
         if level and col in present:
-            out.append(F.coalesce(F.col(col) == F.lit(level), F.lit(False)).cast("int").alias(n))
+            out.append(f"CAST(coalesce({sql_ident(col)} = {sql_str(level)}, false) AS INT) AS {sql_ident(n)}")
         else:
-            out.append(F.lit(0).alias(n))
-    return df.select(*out)
+            out.append(f"0 AS {sql_ident(n)}")
+    return df.selectExpr(*out)
 
 
 def build_feature_table(

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import c, sigmoid
+from ..functions.exprs import c, sql_double, sql_ident
 from .features import CANONICAL_FEATURES
 
 # fixed values: the frozen scorecard S (closed-form churn logit; noise term left out,
@@ -51,23 +51,30 @@ class LinearScorer:
     def coefficients(self) -> dict[str, float]:
         return dict(self.terms)
 
-    def model_input(self, feature: str) -> Column:
-        x = c(feature).cast("double")
+    def model_input_sql(self, feature: str) -> str:
+        x = f"CAST({sql_ident(feature)} AS DOUBLE)"
         if self.scaler and feature in self.scaler:
             mean, scale = self.scaler[feature]
-            return (x - F.lit(mean)) / F.lit(scale)
+            return f"(({x} - {sql_double(mean)}) / {sql_double(scale)})"
         return x
 
-    def logit(self) -> Column:
-        z = F.lit(float(self.intercept))
+    def model_input(self, feature: str) -> Column:
+        return F.expr(self.model_input_sql(feature))
+
+    def logit_sql(self) -> str:
+        z = sql_double(self.intercept)
         for feature, coef in self.terms:
             if coef == 0.0:
                 continue
-            z = z + F.lit(float(coef)) * self.model_input(feature)
+            z = f"({z} + {sql_double(coef)} * {self.model_input_sql(feature)})"
         return z
 
+    def logit(self) -> Column:
+        return F.expr(self.logit_sql())
+
     def probability(self) -> Column:
-        return sigmoid(self.logit())
+        one = sql_double(1.0)
+        return F.expr(f"{one} / ({one} + exp(-({self.logit_sql()})))")
 
     def score(self, features: DataFrame, out: str = "p_raw") -> DataFrame:
         return features.withColumn(out, self.probability())
