@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions.exprs import sql_ident, sql_str
 
 
 def apply_defaults(df: DataFrame) -> DataFrame:
@@ -28,38 +29,38 @@ def apply_defaults(df: DataFrame) -> DataFrame:
     return out
 
 
-def _one_of(name: str, values: list) -> Column:
-    col = F.col(name)
-    allowed = ", ".join(str(v) for v in values)
-    return F.when(col.isNull() | ~col.isin(values), F.lit(f"{name}: must be one of {allowed}"))
-
-
-def validation_errors(df: DataFrame) -> Column:
-    """Array of violated-rule messages (empty when the row is valid)."""
-    checks: list[Column] = []
+def validation_errors_sql(df: DataFrame) -> str:
+    """SQL text of the array of violated-rule messages (empty when the row is valid)."""
+    cols = set(df.columns)
+    checks: list[str] = []
     for name, values in S.DOMAINS.items():
-        if name in df.columns:
-            checks.append(_one_of(name, values))
-    tenure = F.col("tenure") if "tenure" in df.columns else F.lit(None).cast("int")
-    checks.append(F.when(tenure.isNull(), F.lit("tenure: field required")))
+        if name not in cols:
+            continue
+        x = sql_ident(name)
+        allowed = ", ".join(str(v) for v in values)
+        vals = ", ".join(sql_str(v) if isinstance(v, str) else str(v) for v in values)
+        checks.append(f"CASE WHEN {x} IS NULL OR NOT ({x} IN ({vals})) THEN {sql_str(f'{name}: must be one of {allowed}')} END")
+    tenure = sql_ident("tenure") if "tenure" in cols else "CAST(NULL AS INT)"
+    checks.append(f"CASE WHEN {tenure} IS NULL THEN 'tenure: field required' END")
     checks.append(
-        F.when(
-            tenure.isNotNull() & ((tenure < S.TENURE_MIN) | (tenure > S.TENURE_MAX)),
-            F.lit(f"tenure: must be between {S.TENURE_MIN} and {S.TENURE_MAX}"),
-        )
+        f"CASE WHEN {tenure} IS NOT NULL AND ({tenure} < {S.TENURE_MIN} OR {tenure} > {S.TENURE_MAX}) "
+        f"THEN {sql_str(f'tenure: must be between {S.TENURE_MIN} and {S.TENURE_MAX}')} END"
     )
-    monthly = F.col("MonthlyCharges") if "MonthlyCharges" in df.columns else F.lit(None).cast("double")
-    checks.append(F.when(monthly.isNull(), F.lit("MonthlyCharges: field required")))
-    checks.append(F.when(monthly.isNotNull() & (monthly < 0), F.lit("MonthlyCharges: must be >= 0")))
-    if "TotalCharges" in df.columns and dict(df.dtypes)["TotalCharges"] == "string":
-        total = F.col("TotalCharges")
+    monthly = sql_ident("MonthlyCharges") if "MonthlyCharges" in cols else "CAST(NULL AS DOUBLE)"
+    checks.append(f"CASE WHEN {monthly} IS NULL THEN 'MonthlyCharges: field required' END")
+    checks.append(f"CASE WHEN {monthly} IS NOT NULL AND {monthly} < 0 THEN 'MonthlyCharges: must be >= 0' END")
+    if "TotalCharges" in cols and dict(df.dtypes)["TotalCharges"] == "string":
+        t = sql_ident("TotalCharges")
         checks.append(
-            F.when(
-                total.isNotNull() & ~total.rlike(S.NUMBER_PATTERN),
-                F.lit("TotalCharges: must be a number"),
-            )
+            f"CASE WHEN {t} IS NOT NULL AND NOT ({t} RLIKE {sql_str(S.NUMBER_PATTERN)}) "
+            "THEN 'TotalCharges: must be a number' END"
         )
-    return F.filter(F.array(*checks), lambda x: x.isNotNull())
+    return "filter(array(" + ", ".join(checks) + "), e -> e IS NOT NULL)"
+
+
+def validation_errors(df: DataFrame) -> Column:
+    """Array of violated-rule messages, as one SQL expression (a single JVM parse)."""
+    return F.expr(validation_errors_sql(df))
 
 
 def validate_customers(df: DataFrame) -> DataFrame:
