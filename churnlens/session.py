@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -56,3 +58,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder (never machine-local on a cluster)."""
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers (as --py-files would), once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="churnlens-code-")  # Spark's file server reads it until the driver ends
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    tree = shutil.copytree(here, f"{folder}/tree/churnlens", ignore=shutil.ignore_patterns("__pycache__", "*.pyc"))
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/churnlens_code", "zip", os.path.dirname(tree)))
+    _shipped.add(app)
