@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from churnlens.llm import text as X
 from churnlens.llm.components import connected_components
-from churnlens.llm.tables import stored
+from churnlens.llm.tables import if_short, stored
 
 BANDS, ROWS = 24, 5
 #: A block holds about this many members and, unless one set is larger, this many shingles.
@@ -62,6 +62,23 @@ def document_shingles(data: np.ndarray, bounds: np.ndarray, width: int) -> tuple
     return np.concatenate(sets), np.cumsum([0, *map(len, sets)])
 
 
+def _minima(shingles: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Signature of each non-empty set."""
+    at = first[:-1][np.diff(first) > 0]
+    out = np.empty((len(at), BANDS * ROWS), np.uint32)
+    for k in range(BANDS * ROWS):
+        out[:, k] = np.minimum.reduceat((shingles * _A[k] + _B[k]) >> np.uint64(32), at)
+    return out
+
+
+def _band_keys(minima: np.ndarray) -> np.ndarray:
+    """One key for each band: band k has the minima k * ROWS and on."""
+    key = np.broadcast_to(X.mix(np.arange(1, BANDS + 1, dtype=np.uint64)), (len(minima), BANDS))
+    for r in range(ROWS):
+        key = X.mix(key * np.uint64(0x9E3779B97F4A7C15) + minima[:, r::ROWS].astype(np.uint64))
+    return key
+
+
 def _sketch_rows(width: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,25 +87,21 @@ def _sketch_rows(width: int):
                 n = np.diff(first)
                 some = np.flatnonzero(n)
                 h1, h2 = np.zeros(hi - lo, np.uint64), np.zeros(hi - lo, np.uint64)
-                minima = np.zeros((hi - lo, BANDS * ROWS), np.uint32)
+                keys = np.empty((0, BANDS), np.uint64)
                 if len(some):
-                    at = first[some]
-                    h1[some] = np.add.reduceat(X.mix(shingles + np.uint64(1)), at)
-                    h2[some] = np.add.reduceat(X.mix(shingles ^ np.uint64(0x5851F42D4C957F2D)), at)
-                    for k in range(BANDS * ROWS):
-                        minima[some, k] = np.minimum.reduceat((shingles * _A[k] + _B[k]) >> np.uint64(32), at)
-                signature = pa.FixedSizeBinaryArray.from_buffers(
-                    pa.binary(minima.shape[1] * 4), hi - lo, [None, pa.py_buffer(minima)]
-                )
+                    h1[some] = np.add.reduceat(X.mix(shingles + np.uint64(1)), first[some])
+                    h2[some] = np.add.reduceat(X.mix(shingles ^ np.uint64(0x5851F42D4C957F2D)), first[some])
+                    keys = _band_keys(_minima(shingles, first))
+                ends = np.concatenate(([0], np.cumsum((n > 0) * BANDS))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo),
                         pa.array(n, pa.int64()),
                         pa.array(h1.view(np.int64)),
                         pa.array(h2.view(np.int64)),
-                        signature.cast(pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1).view(np.int64))),
                     ],
-                    ["doc_id", "n_shingles", "h1", "h2", "signature"],
+                    ["doc_id", "n_shingles", "h1", "h2", "bands"],
                 )
 
     return rows
@@ -99,38 +112,22 @@ def _set_rows(width: int):
         for batch in batches:
             for lo, hi, data, bounds in X.text_slices(batch.column(1)):
                 shingles, first = document_shingles(data, bounds, width)
+                some = np.flatnonzero(np.diff(first))
+                if not len(some):
+                    continue
                 whole = shingles.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(lo, hi - lo),
-                        pa.array([whole[8 * a : 8 * b] for a, b in zip(first[:-1], first[1:])], pa.binary()),
+                        batch.column(0).slice(lo, hi - lo).take(pa.array(some)),
+                        pa.array([m.tobytes() for m in _minima(shingles, first)], pa.binary()),
+                        pa.array([whole[8 * first[d] : 8 * first[d + 1]] for d in some], pa.binary()),
                     ],
-                    ["rep", "shingles"],
+                    ["rep", "signature", "shingles"],
                 )
 
     return rows
 
 
-def _band_keys():
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = len(batch)
-            if n == 0:
-                continue
-            minima = np.stack([np.frombuffer(s.as_py(), np.uint32) for s in batch.column(1)]).astype(np.uint64)
-            band = np.arange(BANDS, dtype=np.uint64)[None, :]
-            key = X.mix(np.broadcast_to(band, (n, BANDS)) + np.uint64(1))
-            for r in range(ROWS):
-                key = X.mix(key * np.uint64(0x9E3779B97F4A7C15) + minima[:, r::ROWS])
-            reps = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)
-            sizes = np.repeat(batch.column(2).to_numpy(zero_copy_only=False), BANDS)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.reshape(-1).view(np.int64)), pa.array(reps), pa.array(sizes)], ["bucket", "rep", "n"]
-            )
-
-    return rows
-
-
 def _agreement(sig_a: np.ndarray, sig_b: np.ndarray) -> np.ndarray:
     """Share of equal minima for every pair of rows of two signature blocks."""
     same = np.zeros((len(sig_a), len(sig_b)), np.uint16)
@@ -178,14 +175,14 @@ def _links(left: pd.DataFrame, right: pd.DataFrame, same: bool, num: int, den: i
     return pd.DataFrame({"a": left["rep"].to_numpy()[i[real]], "b": right["rep"].to_numpy()[j[real]]})
 
 
-def _check_pairs(blocks: DataFrame, reps: DataFrame, sets: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
-    """Links between side 0 and side 1 of each group of `blocks` (keys..., side, same, rep, component)."""
+def _check_pairs(blocks: DataFrame, sets: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
+    """Links between the two sides of each group of `blocks` (keys..., side, rep, component); without a side 1, within side 0."""
 
     def check(group: pd.DataFrame) -> pd.DataFrame:
-        return _links(group[group["side"] == 0], group[group["side"] == 1], bool(group["same"].iloc[0]), num, den)
+        left, right = group[group["side"] == 0], group[group["side"] == 1]
+        return _links(left, right if len(right) else left, not len(right), num, den)
 
-    full = blocks.join(reps.select("rep", "signature"), "rep").join(sets, "rep")
-    return full.groupBy(*keys).applyInPandas(check, "a long, b long")
+    return blocks.join(sets, "rep").groupBy(*keys).applyInPandas(check, "a long, b long")
 
 
 def near_duplicate_classes(
@@ -203,11 +200,11 @@ def near_duplicate_classes(
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = stored(
-        source.mapInArrow(_sketch_rows(width), "doc_id long, n_shingles long, h1 long, h2 long, signature binary")
+        source.mapInArrow(_sketch_rows(width), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
     )
     linked = sketch.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = linked.groupBy("h1", "h2", "n_shingles").agg(
-        F.min("doc_id").alias("rep"), F.first("signature").alias("signature")
+        F.min("doc_id").alias("rep"), F.first("bands").alias("bands")
     )
     reps = stored(classes.withColumnRenamed("n_shingles", "n"))
     # one id on two texts joins their classes
@@ -218,7 +215,7 @@ def near_duplicate_classes(
         .select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     )
 
-    bands = reps.select("rep", "signature", "n").mapInArrow(_band_keys(), "bucket long, rep long, n long")
+    bands = reps.select(F.explode("bands").alias("bucket"), "rep", "n")
     counts = bands.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
     members = stored(bands.join(counts, "bucket"))
 
@@ -230,8 +227,8 @@ def near_duplicate_classes(
     pairs = stored(members.join(hubs, "bucket").filter("rep <> hub").select("hub", "rep", "n").distinct())
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = stored(
-        source.join(wanted, "doc_id", "left_semi")
-        .mapInArrow(_set_rows(width), "rep long, shingles binary")
+        source.join(if_short(wanted), "doc_id", "left_semi")
+        .mapInArrow(_set_rows(width), "rep long, signature binary, shingles binary")
         .join(reps.select("rep", F.col("n").alias("size")), "rep")
         .filter(F.length("shingles") == 8 * F.col("size"))
         .dropDuplicates(["rep"])
@@ -242,16 +239,16 @@ def near_duplicate_classes(
     )
     spokes = pairs.join(per_hub, "hub").withColumn("part", F.expr("pmod(xxhash64(rep), parts)"))
     centre = spokes.select("hub", "part").distinct().withColumn("rep", F.col("hub"))
-    stars = spokes.select("hub", "part", F.lit(1).alias("side"), F.lit(False).alias("same"), "rep").unionByName(
-        centre.select("hub", "part", F.lit(0).alias("side"), F.lit(False).alias("same"), "rep")
+    stars = spokes.select("hub", "part", F.lit(1).alias("side"), "rep").unionByName(
+        centre.select("hub", "part", F.lit(0).alias("side"), "rep")
     )
-    star_links = _check_pairs(
-        stars.withColumn("component", F.col("rep")), reps, sets, ["hub", "part"], num, den
-    ).unionByName(same_id)
+    star_links = _check_pairs(stars.withColumn("component", F.col("rep")), sets, ["hub", "part"], num, den)
+    star_links = star_links.unionByName(same_id)
     nodes = stored(connected_components(star_links))
 
-    # buckets that hold several components: compare their members in blocks
-    named = members.join(nodes.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
+    # buckets whose members, the hub aside, are of several components: compare them in blocks
+    spare = members.filter("members > 2").join(hubs, "bucket").filter("rep <> hub").drop("members", "hub")
+    named = spare.join(nodes.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
         "component", F.coalesce("component", "rep")
     )
     open_buckets = (
@@ -283,15 +280,19 @@ def near_duplicate_classes(
         .filter(f"{den} * n_hi >= {num} * o_n_lo AND {den} * o_n_hi >= {num} * n_lo")
         .select("bucket", F.col("block").alias("left_block"), F.col("o_block").alias("right_block"))
     )
-    same = (F.col("left_block") == F.col("right_block")).alias("same")
-    sides = [
-        placed.select("bucket", F.col("block").alias(f"{name}_block"), "rep", "component")
-        .join(work, ["bucket", f"{name}_block"])
-        .select("bucket", "left_block", "right_block", F.lit(k).alias("side"), same, "rep", "component")
-        for k, name in enumerate(("left", "right"))
-    ]
+    left = placed.withColumnRenamed("block", "left_block").join(work, ["bucket", "left_block"])
+    right = placed.withColumnRenamed("block", "right_block").join(
+        work.filter("left_block < right_block"), ["bucket", "right_block"]
+    )
+    keys = ["bucket", "left_block", "right_block"]
     more = _check_pairs(
-        sides[0].unionByName(sides[1]), reps, sets, ["bucket", "left_block", "right_block"], num, den
+        left.select(*keys, F.lit(0).alias("side"), "rep", "component").unionByName(
+            right.select(*keys, F.lit(1).alias("side"), "rep", "component")
+        ),
+        sets,
+        keys,
+        num,
+        den,
     )
     ends = nodes.select(F.col("node"), F.col("component"))
     lifted = (
