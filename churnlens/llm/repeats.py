@@ -9,9 +9,11 @@ MIN_WORDS words always share a kept suffix whose first GRAM words are equal.
    stands for its first GRAM words and context for the whole stretch, left and
    right, that its windows reach. Sorted by gram, neighbours with equal grams
    are compared; suffixes without an equal neighbour are dropped.
-2. Equal contexts need no more work than one of them: all their windows repeat.
-3. One suffix for each context is extended left and right, word by word, over
-   the windows that selected it; the windows are compared over the corpus.
+2. Where all suffixes of a gram have the same context, they repeat as they
+   stand. Equal contexts never need more work than one of them.
+3. Of grams with several contexts, one suffix for each context is extended left
+   and right, word by word, over the windows that selected it; these windows
+   are compared over the corpus.
 4. The repeated windows of each text are joined into spans.
 
 Every step is a partial-aggregated group or a join; a passage that a third of
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.llm import text as X
-from churnlens.llm.tables import stored
+from churnlens.llm.tables import if_short, stored
 
 MIN_WORDS, GRAM = 50, 25
 
@@ -66,7 +68,7 @@ def _suffix_rows(min_words: int, gram: int):
             uids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, hi, data, bounds in X.text_slices(batch.column(1)):
                 words = X.find_words(data, bounds, X.SPACED)
-                out = [[], [], [], []]
+                out = [[], [], [], [], [], []]
                 for d, sums, grams, at, first, last in _per_text(words, hi - lo, min_words, gram):
                     # the stretch of its windows, and where the suffix stands in it
                     stretch = X.range_hashes(sums, first, last - first + min_words)
@@ -75,22 +77,20 @@ def _suffix_rows(min_words: int, gram: int):
                     out[1].append(X.mix(stretch + X.mix(place)))
                     out[2].append(np.full(len(at), uids[lo + d]))
                     out[3].append(at)
+                    out[4].append(first - at)
+                    out[5].append(last - at)
                 if out[0]:
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.concatenate(out[0]).view(np.int64)),
-                            pa.array(np.concatenate(out[1]).view(np.int64)),
-                            pa.array(np.concatenate(out[2]).astype(np.int64)),
-                            pa.array(np.concatenate(out[3]).astype(np.int32)),
-                        ],
-                        ["gram", "context", "uid", "at"],
+                        [pa.array(np.concatenate(x).view(np.int64)) for x in out[:3]]
+                        + [pa.array(np.concatenate(x).astype(np.int32)) for x in out[3:]],
+                        ["gram", "context", "uid", "at", "lo", "hi"],
                     )
 
     return rows
 
 
 def _window_rows(min_words: int, gram: int):
-    """Extends the chosen suffixes of each text: one row per window, by its hash."""
+    """Extends the chosen suffixes of each text: the hashes of all windows that selected them."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,32 +98,54 @@ def _window_rows(min_words: int, gram: int):
             chosen = batch.column(2)
             for lo, hi, data, bounds in X.text_slices(batch.column(1)):
                 words = X.find_words(data, bounds, X.SPACED)
-                out = [[], [], [], [], [], []]
+                out = [[], [], [], [], [], [], []]
                 for d, sums, grams, at, first, last in _per_text(words, hi - lo, min_words, gram):
                     picks = chosen[lo + d].values
                     place = np.searchsorted(at, picks.field("at").to_numpy())
                     size = last[place] - first[place] + 1
-                    own = np.repeat(np.arange(len(place)), size)
-                    step = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
-                    start = first[place][own] + step
+                    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                    start = np.repeat(first[place], size) + step
                     out[0].append(X.range_hashes(sums, start, min_words))
-                    out[1].append(picks.field("gram").to_numpy()[own])
-                    out[2].append(picks.field("context").to_numpy()[own])
-                    out[3].append(picks.field("copies").to_numpy()[own])
-                    out[4].append(np.full(len(own), uids[lo + d]))
-                    out[5].append(np.stack([start, start - at[place][own]], axis=1))
+                    out[1].append(picks.field("context").to_numpy())
+                    out[2].append(picks.field("copies").to_numpy())
+                    out[3].append(np.full(len(place), uids[lo + d]))
+                    out[4].append(first[place])
+                    out[5].append(first[place] - at[place])
+                    out[6].append(size)
                 if out[0]:
-                    start = np.concatenate(out[5]).astype(np.int32)
+                    ends = np.concatenate(([0], np.cumsum(np.concatenate(out[6])))).astype(np.int32)
+                    hashes = pa.array(np.concatenate(out[0]).view(np.int64))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(x).view(np.int64)) for x in out[:4]]
-                        + [pa.array(np.concatenate(out[4]).astype(np.int64))]
-                        + [pa.array(np.ascontiguousarray(start[:, k])) for k in (0, 1)],
-                        ["window", "gram", "context", "copies", "uid", "start", "shift"],
+                        [pa.array(np.concatenate(x).view(np.int64)) for x in out[1:4]]
+                        + [pa.array(np.concatenate(x).astype(np.int32)) for x in out[4:6]]
+                        + [pa.ListArray.from_arrays(pa.array(ends), hashes)],
+                        ["context", "copies", "uid", "start", "lo", "windows"],
                     )
 
     return rows
 
 
+def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Joins the repeated windows of each context to runs with their first occurrence: (context, runs)."""
+    for batch in batches:
+        found = batch.column(1)
+        flat, size = found.flatten(), found.value_lengths().to_numpy()
+        own = np.repeat(np.arange(len(batch)), size)
+        shift, uid, start = (flat.field(k).to_numpy() for k in ("shift", "uid", "start"))
+        order = np.lexsort((shift, own))
+        own, shift, uid, start = own[order], shift[order], uid[order], start[order]
+        new = np.ones(len(own), bool)
+        new[1:] = (np.diff(own) != 0) | (np.diff(shift) != 1) | (np.diff(start) != 1) | (uid[1:] != uid[:-1])
+        head = np.flatnonzero(new)
+        tail = np.append(head[1:], len(own)) - 1 if len(head) else head
+        runs = pa.StructArray.from_arrays(
+            [pa.array(shift[head]), pa.array(shift[tail]), pa.array(uid[head]), pa.array(start[head])],
+            ["lo", "hi", "uid", "start"],
+        )
+        ends = np.concatenate(([0], np.cumsum(np.bincount(own[head], minlength=len(batch))))).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), runs)], ["context", "runs"])
+
+
 def _covered(starts: np.ndarray, size: int, min_words: int) -> np.ndarray:
     """Words under windows at the given starts."""
     steps = np.zeros(size + 1, np.int64)
@@ -142,16 +164,17 @@ def _span_rows(min_words: int):
         for batch in batches:
             repeated, cut = [], []
             for uid, found in zip(batch.column(0).to_pylist(), batch.column(1)):
-                at = found.values.field("at").to_numpy()
-                windows = found.values.field("windows")
-                size = windows.value_lengths().to_numpy()
-                flat = windows.flatten()
-                here = np.repeat(at, size) + flat.field("shift").to_numpy()
-                size = int(here.max()) + min_words
-                later = (flat.field("uid").to_numpy() != uid) | (flat.field("start").to_numpy() != here)
-                repeated.append(_spans(_covered(here, size, min_words)))
-                kept = _covered(here[~later], size, min_words)
-                cut.append(_spans(_covered(here[later], size, min_words) & ~kept))
+                at, runs = found.values.field("at").to_numpy(), found.values.field("runs")
+                per, flat = runs.value_lengths().to_numpy(), runs.flatten()
+                low, high, of, first = (flat.field(k).to_numpy() for k in ("lo", "hi", "uid", "start"))
+                size = high - low + 1
+                step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                here = np.repeat(np.repeat(at, per) + low, size) + step
+                later = (np.repeat(of, size) != uid) | (np.repeat(first, size) + step != here)
+                words = int(here.max()) + min_words
+                repeated.append(_spans(_covered(here, words, min_words)))
+                kept = _covered(here[~later], words, min_words)
+                cut.append(_spans(_covered(here[later], words, min_words) & ~kept))
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(repeated, kind), pa.array(cut, kind)], ["uid", "repeated", "cut"]
@@ -183,42 +206,56 @@ def repeated_spans(
     an empty table gives an empty result.
     """
     source = docs.select(text_uid(id_col, text_col).alias("uid"), F.col(text_col).cast("string").alias("text"))
-    suffixes = stored(
-        source.mapInArrow(_suffix_rows(min_words, gram), "gram long, context long, uid long, at int")
+    suffixes = source.mapInArrow(
+        _suffix_rows(min_words, gram), "gram long, context long, uid long, at int, lo int, hi int"
     )
-    shared = suffixes.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    shared = suffixes.select("gram").groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
     shared = stored(suffixes.join(shared, "gram", "left_semi"))
-    contexts = shared.groupBy("gram", "context").agg(
-        F.count("*").alias("copies"), F.min(F.struct("uid", "at")).alias("one")
+    contexts = stored(
+        shared.groupBy("gram", "context", "lo", "hi").agg(
+            F.count("*").alias("copies"), F.min(F.struct("uid", "at")).alias("one")
+        )
+    )
+    # neighbours that are equal in their whole context repeat as they stand; others have to be extended
+    several = contexts.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    alone = contexts.join(several, "gram", "left_anti").select(
+        "context", F.array(F.struct("lo", "hi", "one.uid", (F.col("one.at") + F.col("lo")).alias("start"))).alias("runs")
     )
-    chosen = contexts.groupBy("one.uid").agg(
-        F.sort_array(F.collect_list(F.struct("one.at", "gram", "context", "copies"))).alias("chosen")
+    chosen = stored(
+        contexts.join(several, "gram", "left_semi")
+        .groupBy("one.uid")
+        .agg(F.sort_array(F.collect_list(F.struct("one.at", "context", "copies"))).alias("chosen"))
     )
     windows = stored(
-        source.join(chosen, "uid")
+        source.join(if_short(chosen.select("uid")), "uid", "left_semi")
+        .join(chosen, "uid")
         .dropDuplicates(["uid"])
         .mapInArrow(
             _window_rows(min_words, gram),
-            "window long, gram long, context long, copies long, uid long, start int, shift int",
+            "context long, copies long, uid long, start int, lo int, windows array<long>",
         )
     )
+    each = windows.select("*", F.posexplode("windows").alias("step", "window"))
     again = (
-        windows.groupBy("window")
+        each.select("window", "copies", "uid", (F.col("start") + F.col("step")).alias("start"))
+        .groupBy("window")
         .agg(F.sum("copies").alias("n"), F.min(F.struct("uid", "start")).alias("first"))
         .filter("n > 1")
-        .select("window", "first")
+        .select("window", "first.uid", "first.start")
     )
-    by_context = (
-        windows.select("window", "gram", "context", "shift")
+    extended = (
+        each.select("window", "context", (F.col("lo") + F.col("step")).alias("shift"))
         .join(again, "window")
-        .groupBy("gram", "context")
-        .agg(F.collect_list(F.struct("shift", "first.uid", "first.start")).alias("windows"))
+        .groupBy("context")
+        .agg(F.collect_list(F.struct("shift", "uid", "start")).alias("found"))
+        .mapInArrow(_run_rows, "context long, runs array<struct<lo:int,hi:int,uid:bigint,start:int>>")
     )
     per_text = (
-        shared.distinct()
-        .join(by_context, ["gram", "context"])
+        shared.select("uid", "at", "context")
+        .distinct()
+        .join(alone.unionByName(extended), "context")
         .groupBy("uid")
-        .agg(F.collect_list(F.struct("at", "windows")).alias("found"))
+        .agg(F.collect_list(F.struct("at", "runs")).alias("found"))
     )
     return per_text.mapInArrow(_span_rows(min_words), f"uid long, repeated {SPANS}, cut {SPANS}")
 
