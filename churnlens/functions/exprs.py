@@ -59,21 +59,19 @@ def contract_months(contract: Column) -> Column:
 
 
 def prediction_label(p: Column) -> Column:
-    return F.when(p >= S.LABEL_THRESHOLD, F.lit(S.CHURN_LABEL)).otherwise(F.lit(S.STAY_LABEL))
+    """Null for a missing probability: an unscored customer is not a safe one."""
+    return F.when(p >= S.LABEL_THRESHOLD, F.lit(S.CHURN_LABEL)).when(p.isNotNull(), F.lit(S.STAY_LABEL))
 
 
 def risk_level(p: Column, suffix: str = "") -> Column:
+    """Null for a missing probability."""
     return (
         F.when(p >= S.HIGH_RISK, F.lit("High" + suffix))
         .when(p >= S.MEDIUM_RISK, F.lit("Medium" + suffix))
-        .otherwise(F.lit("Low" + suffix))
+        .when(p.isNotNull(), F.lit("Low" + suffix))
     )
 
 
-def sigmoid(z: Column) -> Column:
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
-
-
 def readable_feature(name: Column) -> Column:
     """``Contract_One year`` -> ``Contract → One year``; split camelCase."""
     return F.regexp_replace(F.regexp_replace(name, "_", " → "), "([a-z])([A-Z])", "$1 $2")

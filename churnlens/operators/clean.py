@@ -25,7 +25,9 @@ def _business_columns(df: DataFrame, order_col: str) -> list[str]:
 def dedup_keep_first(df: DataFrame, key: str = S.KEY, order_col: str = S.ORDER_COL) -> DataFrame:
     """Keep the first row (smallest ``order_col``) per ``key``; null keys form one group."""
     others = [c for c in df.columns if c != key]
-    first = F.min_by(F.struct(*[F.col(c) for c in others]), F.col(order_col)).alias("_first")
+    # as a struct, a null order sorts after all others instead of dropping the row
+    order = F.struct(F.col(order_col).isNull(), F.col(order_col))
+    first = F.min_by(F.struct(*[F.col(c) for c in others]), order).alias("_first")
     out = df.groupBy(key).agg(first)
     return out.select(*[F.col(key) if c == key else F.col(f"_first.{c}").alias(c) for c in df.columns])
 

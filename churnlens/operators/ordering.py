@@ -91,6 +91,8 @@ def hash_bands(
     for g, b in boundary_pairs:
         is_boundary = is_boundary | (in_group(g) & (bcol == F.lit(b)))
 
+    # a null group compares as null: without coalesce its rows would be in neither branch
+    is_boundary = F.coalesce(is_boundary, F.lit(False))
     win = Window.partitionBy(group_col, "_bk").orderBy("_ok", tiebreak)
     boundary_rows = work.filter(is_boundary).withColumn("_rib", F.row_number().over(win) - 1)
     other_rows = work.filter(~is_boundary).withColumn("_rib", F.lit(None).cast("int"))
@@ -127,14 +129,15 @@ def global_rank(df: DataFrame, order_col: str, rank_col: str = "rank", buckets:
     bucket = F.least(
         F.floor((F.col(order_col).cast("double") - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1)
     ).cast("int")
-    work = df.withColumn("_bk", bucket)
+    # a null order comes last, in the last bucket
+    work = df.withColumn("_bk", F.when(F.col(order_col).isNull(), F.lit(buckets - 1)).otherwise(bucket))
     counts = _collect_counts(work, None, "_bk", 1).get(None, {})
     offsets, running = [], 0
     for b in range(buckets):
         offsets.append(running)
         running += counts.get(b, 0)
     offset_arr = F.array(*[F.lit(o).cast("bigint") for o in offsets])
-    win = Window.partitionBy("_bk").orderBy(order_col)
+    win = Window.partitionBy("_bk").orderBy(F.asc_nulls_last(order_col))
     return (
         work.withColumn(rank_col, F.element_at(offset_arr, F.col("_bk") + 1) + F.row_number().over(win))
         .drop("_bk")

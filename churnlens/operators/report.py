@@ -28,11 +28,10 @@ HISTOGRAM_EDGES = [
 ]
 
 
-def _pct_label(lo: float, hi: float) -> str:
-    return f"{int(lo * 100)}-{int(hi * 100)}%"
-
-
-HISTOGRAM_LABELS = [_pct_label(HISTOGRAM_EDGES[i], HISTOGRAM_EDGES[i + 1]) for i in range(10)]
+# fixed values: the labels of the ten buckets
+HISTOGRAM_LABELS = [
+    "0-10%", "10-20%", "20-30%", "30-40%", "40-50%", "50-60%", "60-70%", "70-80%", "80-90%", "90-100%",
+]
 
 
 def zero_filled_counts(df: DataFrame, conditions: list[tuple[str, Column]], label_col: str, count_col: str) -> DataFrame:
@@ -61,22 +60,29 @@ def churn_summary(scored: DataFrame, p: str = "p_raw") -> DataFrame:
     agg = scored.agg(
         F.count(F.lit(1)).alias("total_customers"),
         F.count_if(churn).alias("predicted_churn_count"),
+        F.count_if(pc.isNull()).alias("unscored_count"),
         F.avg(pc).alias("_avg"),
         F.sum(F.when(churn, F.col("MonthlyCharges"))).alias("_rev"),
     )
     return agg.select(
         F.col("total_customers").cast("bigint"),
         F.col("predicted_churn_count").cast("bigint"),
-        (F.col("total_customers") - F.col("predicted_churn_count")).cast("bigint").alias("predicted_retain_count"),
-        round_half_even(safe_ratio(F.col("predicted_churn_count"), F.col("total_customers")), 4).alias("churn_rate"),
+        (F.col("total_customers") - F.col("predicted_churn_count") - F.col("unscored_count"))
+        .cast("bigint")
+        .alias("predicted_retain_count"),
+        F.col("unscored_count").cast("bigint"),
+        round_half_even(
+            safe_ratio(F.col("predicted_churn_count"), F.col("total_customers") - F.col("unscored_count")), 4
+        ).alias("churn_rate"),
         round_half_even(F.col("_avg"), 4).alias("average_risk"),
         round_half_even(F.coalesce(F.col("_rev"), F.lit(0.0)), 2).alias("estimated_monthly_revenue_at_risk"),
     )
 
 
 def risk_breakdown(scored: DataFrame) -> DataFrame:
-    """Count per risk level (levels with no rows are omitted)."""
-    return scored.groupBy("RiskLevel").agg(F.count(F.lit(1)).cast("bigint").alias("count"))
+    """Count per risk level, largest first (levels with no rows are omitted)."""
+    counts = scored.where(F.col("RiskLevel").isNotNull()).groupBy("RiskLevel")
+    return counts.agg(F.count(F.lit(1)).cast("bigint").alias("count")).orderBy(F.desc("count"), "RiskLevel")
 
 
 def risk_counts_filled(scored: DataFrame, p: str = "p_raw") -> DataFrame:
@@ -184,7 +190,7 @@ def churn_rate_by(clean_df: DataFrame, columns: list[str] | None = None) -> Data
         "category",
         round_half_even(F.col("_rate"), 4).alias("churn_rate"),
         F.col("_cnt").cast("bigint").alias("customers"),
-    )
+    ).orderBy("column_name", F.desc("churn_rate"), "category")
 
 
 # ---------------------------------------------------------------------------------------
@@ -271,7 +277,7 @@ def display_projection(scored: DataFrame) -> DataFrame:
 
 def search_by_id(scored: DataFrame, pattern: str, id_col: str = S.KEY) -> DataFrame:
     """Case-insensitive regex match on the id (null id -> no match)."""
-    return scored.where(F.coalesce(F.col(id_col).cast("string").rlike("(?i)" + pattern), F.lit(False)))
+    return scored.where(F.coalesce(F.col(id_col).cast("string").rlike("(?iu)" + pattern), F.lit(False)))
 
 
 def search_customers(scored: DataFrame, query: str = "", risk: str = "All") -> DataFrame:
@@ -310,10 +316,19 @@ def page(scored: DataFrame, number: int, size: int = S.PAGE_SIZE, key: str = "Ch
     return sort_customers(scored, key).offset((number - 1) * size).limit(size)
 
 
-def page_after(scored: DataFrame, last_p: float, last_id: str, size: int = S.PAGE_SIZE) -> DataFrame:
-    """Keyset page for deep paging: rows strictly after (last_p desc, last_id asc)."""
+def page_after(scored: DataFrame, last_p: float | None, last_id: str | None, size: int = S.PAGE_SIZE) -> DataFrame:
+    """Keyset page for deep paging: the rows after the row (last_p, last_id).
+
+    The order is that of ``sort_customers``: probability descending with nulls
+    last, then id ascending with nulls first. Rows equal in both cannot be told
+    apart by a keyset.
+    """
     p, k = F.col("ChurnProbability"), F.col(S.KEY)
-    after = (p < F.lit(last_p)) | ((p == F.lit(last_p)) & (k > F.lit(last_id)))
+    later_id = k.isNotNull() if last_id is None else k > F.lit(last_id)
+    if last_p is None:
+        after = p.isNull() & later_id
+    else:
+        after = p.isNull() | (p < F.lit(last_p)) | ((p == F.lit(last_p)) & later_id)
     return sort_customers(scored.where(after)).limit(size)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.exprs import prediction_label, risk_level, round_half_even, tenure_group
-from .clean import clean, impute_total_online
+from .clean import assign_row_ids, clean, impute_total_online
 from .features import add_features, encode_for
 from .validate import apply_defaults
 
@@ -45,9 +45,13 @@ def attach_scores(clean_df: DataFrame, scorer, high_value="batch", round_digits:
 
 
 def score_batch(raw: DataFrame, scorer, high_value="batch") -> DataFrame:
-    """Drop target -> clean -> features -> align -> score -> labels (one lazy plan)."""
-    work = raw.drop(S.TARGET)
-    return attach_scores(clean(work), scorer, high_value)
+    """Drop target -> clean -> ROW-n ids if there is no key -> features -> align -> score -> labels."""
+    cleaned = clean(raw.drop(S.TARGET))
+    if S.KEY not in cleaned.columns:
+        if S.ORDER_COL not in cleaned.columns:
+            cleaned = cleaned.withColumn(S.ORDER_COL, F.monotonically_increasing_id())
+        cleaned = assign_row_ids(cleaned)
+    return attach_scores(cleaned, scorer, high_value)
 
 
 def score_records(records: DataFrame, scorer, high_value="single") -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
     LogisticRegression,
+    LogisticRegressionModel,
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -40,19 +41,21 @@ from . import evaluate as EV
 from .features import CANONICAL_FEATURES, add_features, encode_for
 from .linear import LinearScorer
 
-CANDIDATES = ["LogisticRegression", "DecisionTree", "RandomForest", "XGBoost", "LightGBM"]
+CANDIDATES = ["LogisticRegression", "DecisionTree", "RandomForest", "GBTWeighted", "GBT"]
 SCALED = {"LogisticRegression"}
 
-# fixed values: randomized-search spaces per model family
+# Randomized-search spaces on the parameters that pyspark.ml has; values equal the reference's where the
+# parameter is the same (depth, learning rate, rounds, row and column sampling, trees, leaf size).
+# maxBins and minInfoGain are Spark's own.
 SEARCH_SPACES = {
-    "XGBoost": {
+    "GBTWeighted": {
         "maxDepth": [3, 4, 5, 6, 8],
         "stepSize": [0.01, 0.03, 0.05, 0.1],
         "maxIter": [200, 300, 400, 600],
         "subsamplingRate": [0.7, 0.8, 0.9, 1.0],
         "featureSubsetStrategy": ["0.6", "0.8", "1.0"],
     },
-    "LightGBM": {
+    "GBT": {
         "maxDepth": [3, 4, 5, 6, 8, 12],
         "stepSize": [0.01, 0.03, 0.05, 0.1],
         "maxIter": [200, 300, 400, 600],
@@ -123,9 +126,9 @@ def estimator(name: str, trees: int = 300, rounds: int = 300, n_train: int | Non
         return RandomForestClassifier(
             labelCol=label, weightCol=weight, numTrees=trees, maxDepth=10, featureSubsetStrategy="sqrt", seed=seed,
         )
-    if name == "XGBoost":
+    if name == "GBTWeighted":
         return GBTClassifier(labelCol=label, weightCol=weight, maxIter=rounds, maxDepth=5, stepSize=0.05, seed=seed)
-    if name == "LightGBM":
+    if name == "GBT":
         return GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=6, stepSize=0.05, seed=seed)
     raise ValueError(f"unknown model {name}")
 
@@ -133,7 +136,7 @@ def estimator(name: str, trees: int = 300, rounds: int = 300, n_train: int | Non
 def add_weights(df: DataFrame, name: str) -> DataFrame:
     if name in ("LogisticRegression", "DecisionTree", "RandomForest"):
         return EV.balanced_weights(df.withColumn(S.TARGET, F.col(S.TARGET).cast("int")))
-    if name == "XGBoost":
+    if name == "GBTWeighted":
         return EV.pos_weight(df)
     return df.withColumn("weight", F.lit(1.0))
 
@@ -309,26 +312,63 @@ def save_artifacts(spark: SparkSession, path: str, fm: FittedModel, ts: Training
 
 def load_artifacts(spark: SparkSession, path: str):
     """Returns (PipelineModel, scaler stats, feature names, metadata row); lists what is missing."""
-    from py4j.protocol import Py4JJavaError
-
-    missing, parts = [], {}
-    for name in ARTIFACTS:
-        try:
-            if name == "model":
-                parts[name] = PipelineModel.load(f"{path}/model")
-            elif name == "metadata":
-                parts[name] = spark.read.schema(METADATA_SCHEMA).json(f"{path}/metadata").first()
-            else:
-                parts[name] = spark.read.parquet(f"{path}/{name}").collect()
-        except (Py4JJavaError, Exception):  # noqa: BLE001
-            missing.append(name)
+    fs = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsc.hadoopConfiguration()
+
+    def there(name: str) -> bool:
+        where = fs.Path(f"{path}/{name}")
+        return where.getFileSystem(conf).exists(where)
+
+    missing = [name for name in ARTIFACTS if not there(name)]
     if missing:
         raise FileNotFoundError("Missing model artifacts: " + ", ".join(missing))
+    parts = {name: spark.read.parquet(f"{path}/{name}").collect() for name in ("scaler", "feature_names")}
+    parts["model"] = PipelineModel.load(f"{path}/model")
+    parts["metadata"] = spark.read.schema(METADATA_SCHEMA).json(f"{path}/metadata").first()
     scaler = {r["feature"]: (r["mean"], r["scale"]) for r in parts["scaler"]}
     names = [r["feature"] for r in sorted(parts["feature_names"], key=lambda r: r["idx"])]
     return parts["model"], scaler, names, parts["metadata"]
 
 
+@dataclass
+class ModelScorer:
+    """A fitted pyspark.ml classifier with the interface of a LinearScorer: feature_names and score(features, out)."""
+
+    name: str
+    model: object
+    feature_names: list[str]
+    scaler: dict | None = None
+
+    def score(self, features: DataFrame, out: str = "p_raw") -> DataFrame:
+        inputs = []
+        for i, f in enumerate(self.feature_names):
+            x = c(f).cast("double")
+            if self.scaler:
+                mean, scale = self.scaler[f]
+                x = (x - F.lit(mean)) / F.lit(scale)
+            inputs.append(x.alias(f"_f{i}"))
+        names = [f"_f{i}" for i in range(len(inputs))]
+        assembler = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep")
+        staged = assembler.transform(features.select("*", *inputs)).drop(*names)
+        scored = probability(self.model.transform(staged), out)
+        return scored.drop("features", "rawPrediction", "probability", "prediction")
+
+
+def load_scorer(spark: SparkSession, path: str) -> LinearScorer | ModelScorer:
+    """The saved model, ready for score_batch, score_records and score_stream.
+
+    A logistic model comes back as a LinearScorer (column expressions, reasons
+    in closed form), a tree ensemble as a ModelScorer.
+    """
+    pipeline, scaler, names, metadata = load_artifacts(spark, path)
+    model = pipeline.stages[0]
+    scaled = scaler if metadata["needs_scaling"] else None
+    if isinstance(model, LogisticRegressionModel):
+        terms = list(zip(names, model.coefficients.toArray().tolist()))
+        return LinearScorer(float(model.intercept), terms, names, scaled, metadata["best_model"])
+    return ModelScorer(metadata["best_model"], model, names, scaled)
+
+
 def log_run(runs: DataFrame, path: str, run_id: str) -> DataFrame:
     """Append the runs of one training job to a run table (one row per candidate)."""
     out = runs.withColumn("run_id", F.lit(run_id)).withColumn("logged_at", F.current_timestamp())

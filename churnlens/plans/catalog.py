@@ -602,7 +602,8 @@ def q_reasons_sorted(spark, sf):
     "churn_summary",
     O.with_ctes(
         "SELECT CAST(count(*) AS BIGINT) AS total_customers, CAST(count_if(p_raw >= 0.5) AS BIGINT) AS predicted_churn_count, "
-        "CAST(count(*) - count_if(p_raw >= 0.5) AS BIGINT) AS predicted_retain_count, "
+        "CAST(count_if(p_raw < 0.5) AS BIGINT) AS predicted_retain_count, "
+        "CAST(count_if(p_raw IS NULL) AS BIGINT) AS unscored_count, "
         f"{O.rnd('count_if(p_raw >= 0.5) / count(*)', 4)} AS churn_rate, {O.rnd('avg(p_raw)', 4)} AS average_risk, "
         f"{O.rnd('coalesce(sum(CASE WHEN p_raw >= 0.5 THEN MonthlyCharges END), 0)', 2)} AS estimated_monthly_revenue_at_risk FROM sc"
     ),

@@ -63,8 +63,8 @@ def _single(name: str):
 register("train_lr", None)(_single("LogisticRegression"))
 register("train_dt", None)(_single("DecisionTree"))
 register("train_rf", None)(_single("RandomForest"))
-register("train_gbt_weighted", None)(_single("XGBoost"))
-register("train_gbt", None)(_single("LightGBM"))
+register("train_gbt_weighted", None)(_single("GBTWeighted"))
+register("train_gbt", None)(_single("GBT"))
 
 
 @register("model_comparison", None)
@@ -144,6 +144,20 @@ def q_artifacts_roundtrip(spark, sf):
     )
 
 
+@register("score_from_artifacts", None)
+def q_score_from_artifacts(spark, sf):
+    """Every customer scored by the saved and reloaded winner (linear or trees)."""
+    from ..operators import score as SC
+    from .catalog import public, raw
+
+    ts = training(spark, sf)
+    best, fm, _, metrics = tuned(spark, sf)
+    runs, _ = comparison(spark, sf)
+    path = scratch_path(spark, "artifacts")
+    TR.save_artifacts(spark, path, fm, ts, TR.training_metadata(spark, runs, best, metrics, ts))
+    return public(SC.score_batch(raw(spark, sf), TR.load_scorer(spark, path)))
+
+
 @register("run_log", None)
 def q_run_log(spark, sf):
     runs, _ = comparison(spark, sf)

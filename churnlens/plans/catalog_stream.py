@@ -15,7 +15,6 @@ from ..streaming import scorer as ST
 from . import oracle as O
 from .catalog import RECORDS_SQL, VALIDATED, _bg_cte, _contrib_sql, _reasons_body, _top_sql, features_tbl, raw, register
 
-ARRIVAL_FILES = 4
 _CACHE: dict = {}
 
 
@@ -25,8 +24,8 @@ def run_stream(spark: SparkSession, sf: str) -> ST.StreamPaths:
         return _CACHE[key]
     base = scratch_path(spark, "stream")
     paths = ST.StreamPaths(f"{base}/in", f"{base}/scored", f"{base}/quarantine", f"{base}/ckpt")
-    # arrivals: the raw records land as several files (hash-spread, not sorted)
-    raw(spark, sf).repartition(ARRIVAL_FILES).write.mode("overwrite").parquet(paths.source)
+    # arrivals: the raw records land as the files of the tasks that wrote them
+    raw(spark, sf).write.mode("overwrite").parquet(paths.source)
     sc = scorecard()
     explainer = EX.LinearExplainer.fit(sc, EX.background_sample(features_tbl(spark, sf), 100, 1))
     schema = spark.read.parquet(paths.source).schema

@@ -4,16 +4,8 @@ from __future__ import annotations
 
 
 def _load():
-    from . import catalog  # noqa: F401  (registers on import)
-
-    try:
-        from . import catalog_ml  # noqa: F401
-    except ImportError:  # pragma: no cover - optional during development
-        pass
-    try:
-        from . import catalog_stream  # noqa: F401
-    except ImportError:  # pragma: no cover
-        pass
+    from . import catalog, catalog_ml, catalog_stream  # noqa: F401  (they register on import)
+
     return catalog.REGISTRY
 
 

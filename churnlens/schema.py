@@ -158,14 +158,3 @@ def raw_schema() -> T.StructType:
     return T.StructType(
         [T.StructField(c, RAW_TYPES.get(c, T.StringType()), True) for c in RAW_COLUMNS]
     )
-
-
-def request_schema() -> T.StructType:
-    """Schema of a scoring request record (stream input)."""
-    fields = [T.StructField(KEY, T.StringType(), True)]
-    for c in RAW_COLUMNS[1:-1]:
-        if c == "TotalCharges":
-            fields.append(T.StructField(c, T.DoubleType(), True))
-        else:
-            fields.append(T.StructField(c, RAW_TYPES.get(c, T.StringType()), True))
-    return T.StructType(fields)

@@ -45,11 +45,15 @@ def read_customers(
     df = (
         spark.read.schema(S.raw_text_schema(cols))
         .option("header", True)
+        # every file's header has to name the same columns in the same order; another order raises
+        .option("enforceSchema", False)
         .option("mode", "PERMISSIVE")
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
+    if df.isEmpty():
+        raise MissingColumnsError("Uploaded file has no rows.")
     out = []
     for c in cols:
         x = F.col(f"`{c}`")
@@ -59,6 +63,9 @@ def read_customers(
         elif c in S.RAW_TYPES:
             x = F.trim(x).try_cast(S.RAW_TYPES[c].simpleString())
         out.append(x.alias(c))
+    if order_col and order_col not in cols:
+        # "first" needs an order: position in the file (files and their parts as Spark reads them)
+        out.append(F.monotonically_increasing_id().alias(order_col))
     return df.select(*out)
 
 
@@ -89,7 +96,7 @@ def to_records_json(df: DataFrame, cols: list[str] | None = None, double_digits:
         (round_half_even(F.col(f"`{c}`"), double_digits) if types.get(c) == "double" else F.col(f"`{c}`")).alias(c)
         for c in names
     ]
-    return df.select(F.to_json(F.struct(*fields)).alias("record"))
+    return df.select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("record"))
 
 
 def input_template(raw: DataFrame, n: int = 10, order_col: str = S.ORDER_COL) -> DataFrame:

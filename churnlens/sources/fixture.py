@@ -1,59 +1,75 @@
-"""Telco-shaped customer table derived from the driver's ``customer`` table.
+"""Telco-shaped customer table derived from the driver's ``customer`` and ``orders`` tables.
 
-The driver tables hold no telco data, so a raw customer table is derived from
-``customer`` by integer arithmetic on ``c_custkey``: proportions, price rule
-and churn drivers of a typical telco book, plus injected mess (blank and
-missing totals, duplicated customers). The same SQL text runs on Spark and on
-DuckDB, so every downstream oracle starts from identical rows.
+The driver tables hold no telco data. A raw customer table is read out of what
+customers did: tenure is the time from the first open order to the last order, charges come
+from order values, services and contract from order priorities, statuses, nation
+and market segment, and a customer counts as churned when the last order lies
+far back. Customers without such a time have a blank total, very negative balances a
+missing one, and the busiest customers
+stand in the table twice. The same SQL text runs on Spark and on DuckDB, so
+every downstream oracle starts from identical rows.
 
-The derivation is narrow (per-row arithmetic plus one UNION ALL), so it scales
-with ``customer`` and never shuffles.
+Scale: one grouped aggregate of orders by customer and one join by the same key.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# fixed values: the fixture derivation (one SQL text for both engines).
-# ``{customer}`` is the customer relation.
-FIXTURE_CTES = """k AS (SELECT c_custkey AS id, CAST(c_custkey AS BIGINT) AS x FROM {customer}),
-d AS (SELECT id,
- (x*7919+13)%10007 h1,(x*6101+29)%10007 h2,(x*4507+31)%10007 h3,(x*3571+37)%10007 h4,(x*2833+41)%10007 h5,
- (x*1999+43)%10007 h6,(x*9277+47)%10007 h7,(x*8369+53)%10007 h8,(x*5881+59)%10007 h9,(x*1237+61)%10007 h10,
- (x*x+x*733+67)%10007 h11,(x*x+x*2203+71)%10007 h12,(x*x+x*3307+73)%10007 h13,(x*x+x*4409+79)%10007 h14,(x*x+x*5501+83)%10007 h15,(x*x+x*6607+89)%10007 h16,(x*x+x*7703+97)%10007 h17 FROM k),
-s AS (SELECT id,
- CASE WHEN h1%2=0 THEN 'Male' ELSE 'Female' END gender,
- CASE WHEN h2<1601 THEN 1 ELSE 0 END SeniorCitizen,
- CASE WHEN h3<4803 THEN 'Yes' ELSE 'No' END Partner,
- CASE WHEN h4<3002 THEN 'Yes' ELSE 'No' END Dependents,
- CAST(h5%73 AS INT) tenure,
- CASE WHEN h6<9006 THEN 'Yes' ELSE 'No' END PhoneService,
- CASE WHEN h6>=9006 THEN 'No phone service' WHEN h7<4203 THEN 'Yes' ELSE 'No' END MultipleLines,
- CASE WHEN h8<3402 THEN 'DSL' WHEN h8<7805 THEN 'Fiber optic' ELSE 'No' END InternetService,
- CASE WHEN h8>=7805 THEN 'No internet service' WHEN h9<3502 THEN 'Yes' ELSE 'No' END OnlineSecurity,
- CASE WHEN h8>=7805 THEN 'No internet service' WHEN h10<4003 THEN 'Yes' ELSE 'No' END OnlineBackup,
- CASE WHEN h8>=7805 THEN 'No internet service' WHEN h11<4003 THEN 'Yes' ELSE 'No' END DeviceProtection,
- CASE WHEN h8>=7805 THEN 'No internet service' WHEN h12<3502 THEN 'Yes' ELSE 'No' END TechSupport,
- CASE WHEN h8>=7805 THEN 'No internet service' WHEN h13<4503 THEN 'Yes' ELSE 'No' END StreamingTV,
- CASE WHEN h8>=7805 THEN 'No internet service' WHEN h14<4503 THEN 'Yes' ELSE 'No' END StreamingMovies,
- CASE WHEN h15<5504 THEN 'Month-to-month' WHEN h15<7605 THEN 'One year' ELSE 'Two year' END Contract,
- CASE WHEN h16<5904 THEN 'Yes' ELSE 'No' END PaperlessBilling,
- CASE WHEN h17<3402 THEN 'Electronic check' WHEN h17<5704 THEN 'Mailed check' WHEN h17<7906 THEN 'Bank transfer (automatic)' ELSE 'Credit card (automatic)' END PaymentMethod,
- h1,h2,h9 FROM d),
-m AS (SELECT *, least(greatest(1825,
-  1800 + CASE WHEN PhoneService='Yes' THEN 500 ELSE 0 END + CASE WHEN MultipleLines='Yes' THEN 500 ELSE 0 END
-  + CASE InternetService WHEN 'DSL' THEN 2500 WHEN 'Fiber optic' THEN 4500 ELSE 0 END
-  + 600*((CASE WHEN OnlineSecurity='Yes' THEN 1 ELSE 0 END)+(CASE WHEN OnlineBackup='Yes' THEN 1 ELSE 0 END)+(CASE WHEN DeviceProtection='Yes' THEN 1 ELSE 0 END)+(CASE WHEN TechSupport='Yes' THEN 1 ELSE 0 END)+(CASE WHEN StreamingTV='Yes' THEN 1 ELSE 0 END)+(CASE WHEN StreamingMovies='Yes' THEN 1 ELSE 0 END))
-  + (h1 % 1501) - 750),11875) cents FROM s),
-l AS (SELECT *, cents/CAST(100 AS DOUBLE) MonthlyCharges, greatest(0, cents*tenure + (h2 % 4001) - 2000) tcents,
- -1.6 + CASE Contract WHEN 'Month-to-month' THEN 1.05 WHEN 'One year' THEN -0.35 ELSE -1.4 END
- + CASE InternetService WHEN 'Fiber optic' THEN 0.55 WHEN 'No' THEN -0.6 ELSE 0 END - 0.045*tenure + 0.012*(cents/100.0-65)
- + CASE WHEN OnlineSecurity='No' THEN 0.35 ELSE 0 END + CASE WHEN TechSupport='No' THEN 0.35 ELSE 0 END
- + CASE WHEN PaperlessBilling='Yes' THEN 0.25 ELSE 0 END + CASE WHEN PaymentMethod='Electronic check' THEN 0.35 ELSE 0 END
- + CASE WHEN SeniorCitizen=1 THEN 0.25 ELSE 0 END + CASE WHEN Partner='No' THEN 0.15 ELSE 0 END + CASE WHEN Dependents='No' THEN 0.10 ELSE 0 END AS logit FROM m),
-b AS (SELECT 2*id AS src_ord, concat('C-',lpad(CAST(id AS VARCHAR(20)),9,'0')) customerID, gender,SeniorCitizen,Partner,Dependents,tenure,PhoneService,MultipleLines,InternetService,OnlineSecurity,OnlineBackup,DeviceProtection,TechSupport,StreamingTV,StreamingMovies,Contract,PaperlessBilling,PaymentMethod,MonthlyCharges,
- CASE WHEN id%640=5 THEN ' ' WHEN id%176=9 THEN NULL ELSE CAST(CAST(tcents/100.0 AS DECIMAL(12,2)) AS VARCHAR(20)) END TotalCharges,
- CASE WHEN ((id*id*3+id*8111+101)%10007)/10007.0 < 1/(1+exp(-CAST(logit AS DOUBLE))) THEN 'Yes' ELSE 'No' END Churn, id FROM l)"""
+
+def _yes(condition: str, otherwise: str = "'No'") -> str:
+    return f"CASE WHEN {condition} THEN 'Yes' ELSE {otherwise} END"
+
+
+#: Add-on services: a customer with internet has one if there are orders enough of one kind.
+ADD_ONS = {
+    "OnlineSecurity": "urgent >= 2",
+    "OnlineBackup": "high >= 2",
+    "DeviceProtection": "medium >= 3",
+    "TechSupport": "low >= 3",
+    "StreamingTV": "finished >= 4",
+    "StreamingMovies": "pending >= 4",
+}
+
+_ADD_ON_SQL = ",\n ".join(
+    f"CASE WHEN n_nation IN (4, 9, 14, 19, 24) THEN 'No internet service' WHEN {cond} THEN 'Yes' ELSE 'No' END {name}"
+    for name, cond in ADD_ONS.items()
+)
+
+# One SQL text for both engines: counts, minima, maxima and integer arithmetic only.
+FIXTURE_CTES = f"""o AS (SELECT o_custkey, count(*) n_orders,
+ min(CASE WHEN o_orderstatus = 'P' THEN year(o_orderdate) * 12 + month(o_orderdate) END) first_month, max(year(o_orderdate) * 12 + month(o_orderdate)) last_month,
+ min(CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT)) least_cents, max(CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT)) most_cents,
+ sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) urgent, sum(CASE WHEN o_orderpriority = '2-HIGH' THEN 1 ELSE 0 END) high,
+ sum(CASE WHEN o_orderpriority = '3-MEDIUM' THEN 1 ELSE 0 END) medium, sum(CASE WHEN o_orderpriority = '5-LOW' THEN 1 ELSE 0 END) low,
+ sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) finished, sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) pending
+ FROM {{orders}} GROUP BY o_custkey),
+k AS (SELECT c_custkey AS id, c_nationkey AS n_nation, c_mktsegment AS seg, c_acctbal AS bal, coalesce(n_orders, 0) n_orders,
+ least(72, coalesce(last_month - first_month, 0)) AS active_months, coalesce(last_month, 0) last_month,
+ coalesce(least_cents, 0) least_cents, coalesce(most_cents, 0) most_cents,
+ coalesce(urgent, 0) urgent, coalesce(high, 0) high, coalesce(medium, 0) medium, coalesce(low, 0) low,
+ coalesce(finished, 0) finished, coalesce(pending, 0) pending
+ FROM {{customer}} LEFT JOIN o ON c_custkey = o_custkey),
+s AS (SELECT id, bal, n_orders, last_month, least_cents, 1825 + most_cents % 10051 AS cents,
+ CASE WHEN n_nation % 2 = 0 THEN 'Male' ELSE 'Female' END gender,
+ CASE WHEN bal < 500 THEN 1 ELSE 0 END SeniorCitizen,
+ {_yes("finished > pending")} Partner,
+ {_yes("urgent > low")} Dependents,
+ CAST(active_months AS INT) tenure,
+ {_yes("seg <> 'MACHINERY'")} PhoneService,
+ CASE WHEN seg = 'MACHINERY' THEN 'No phone service' WHEN high >= 2 THEN 'Yes' ELSE 'No' END MultipleLines,
+ CASE n_nation % 5 WHEN 4 THEN 'No' WHEN 0 THEN 'DSL' WHEN 2 THEN 'DSL' ELSE 'Fiber optic' END InternetService,
+ {_ADD_ON_SQL},
+ CASE seg WHEN 'AUTOMOBILE' THEN 'One year' WHEN 'FURNITURE' THEN 'Two year' ELSE 'Month-to-month' END Contract,
+ {_yes("bal >= 3000")} PaperlessBilling,
+ CASE n_orders % 4 WHEN 0 THEN 'Electronic check' WHEN 1 THEN 'Mailed check' WHEN 2 THEN 'Bank transfer (automatic)' ELSE 'Credit card (automatic)' END PaymentMethod
+ FROM k),
+b AS (SELECT 2 * id AS src_ord, concat('C-', lpad(CAST(id AS VARCHAR(20)), 9, '0')) customerID, gender, SeniorCitizen, Partner, Dependents, tenure,
+ PhoneService, MultipleLines, InternetService, OnlineSecurity, OnlineBackup, DeviceProtection, TechSupport, StreamingTV, StreamingMovies,
+ Contract, PaperlessBilling, PaymentMethod, cents / CAST(100 AS DOUBLE) MonthlyCharges,
+ CASE WHEN tenure = 0 THEN ' ' WHEN bal < -900 THEN NULL
+  ELSE CAST(CAST(greatest(0, cents * tenure + least_cents % 4001 - 2000) / 100.0 AS DECIMAL(12, 2)) AS VARCHAR(20)) END TotalCharges,
+ {_yes("last_month < 24008")} Churn, n_orders FROM s)"""
 
 FIXTURE_COLUMNS = (
     "src_ord,customerID,gender,SeniorCitizen,Partner,Dependents,tenure,PhoneService,MultipleLines,"
@@ -63,25 +79,22 @@ FIXTURE_COLUMNS = (
 
 FIXTURE_BODY = (
     f"SELECT {FIXTURE_COLUMNS} FROM b\n"
-    f"UNION ALL SELECT src_ord+1,{FIXTURE_COLUMNS.split(',', 1)[1]} FROM b WHERE id%280=0"
+    f"UNION ALL SELECT src_ord+1,{FIXTURE_COLUMNS.split(',', 1)[1]} FROM b WHERE n_orders >= 17"
 )
 
 
-def fixture_sql(customer_relation: str = "customer") -> str:
-    """Full SELECT text of the raw telco table over ``customer_relation``."""
-    return "WITH " + FIXTURE_CTES.format(customer=customer_relation) + "\n" + FIXTURE_BODY
+def fixture_sql(customer: str = "customer", orders: str = "orders") -> str:
+    """Full SELECT text of the raw telco table."""
+    return "WITH " + FIXTURE_CTES.format(customer=customer, orders=orders) + "\n" + FIXTURE_BODY
 
 
-def fixture_cte(name: str = "raw", customer_relation: str = "customer") -> str:
+def fixture_cte(name: str = "raw", customer: str = "customer", orders: str = "orders") -> str:
     """The fixture as CTE fragments ending in a CTE called ``name`` (for oracle SQL)."""
-    return FIXTURE_CTES.format(customer=customer_relation) + f",\n{name} AS ({FIXTURE_BODY})"
-
-
-def load_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/customer.parquet")
+    return FIXTURE_CTES.format(customer=customer, orders=orders) + f",\n{name} AS ({FIXTURE_BODY})"
 
 
 def telco_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw telco table (22 columns incl. ``src_ord``) derived from ``customer``."""
-    customer = load_customer(spark, sf_dir).select("c_custkey")
-    return spark.sql(fixture_sql("{customer}"), customer=customer)
+    """Raw telco table (22 columns incl. ``src_ord``) derived from ``customer`` and ``orders``."""
+    base = sf_dir.rstrip("/")
+    customer, orders = (spark.read.parquet(f"{base}/{name}.parquet") for name in ("customer", "orders"))
+    return spark.sql(fixture_sql("{customer}", "{orders}"), customer=customer, orders=orders)

@@ -78,8 +78,12 @@ def start(spark: SparkSession, paths: StreamPaths, scorer: LinearScorer, explain
     return queries
 
 
-def run_to_completion(queries: list[StreamingQuery], timeout_s: int = 600) -> None:
-    for q in queries:
-        q.awaitTermination(timeout_s)
-        if q.exception() is not None:
-            raise RuntimeError(str(q.exception()))
+def run_to_completion(queries: list[StreamingQuery]) -> None:
+    """Wait, without a limit, until every query has drained its input; a failed query raises and ends the others."""
+    try:
+        for q in queries:
+            q.awaitTermination()
+    finally:
+        for q in queries:
+            if q.isActive:
+                q.stop()
