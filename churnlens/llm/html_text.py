@@ -22,7 +22,7 @@ MOST_DEPTH = 200
 # Element kinds of the HTML standard.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 RAW = set("script style xmp iframe noembed noframes".split())
-HIDDEN = RAW - {"xmp"} | set("head template datalist noscript object audio video canvas select textarea svg math".split())
+HIDDEN = RAW - {"xmp"} | set("head title template datalist noscript object audio video canvas select textarea svg math".split())
 BLOCK = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol optgroup option p pre search section summary table "
