@@ -184,6 +184,6 @@ def judge(docs: DataFrame) -> DataFrame:
         "n_repeat_words",
         "base_failed",
         (~F.col("base_failed") & ~far).alias("kept"),
-        "class_distance",
-        "word_distance",
+        F.round("class_distance", 6).alias("class_distance"),
+        F.round("word_distance", 6).alias("word_distance"),
     )

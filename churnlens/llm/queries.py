@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from churnlens.llm import bpe, chat, decontaminate, html_text, langid, licenses, minhash, quality_model, quality_rules, repeats
+from churnlens.llm.oracles import ORACLES
 from churnlens.llm.tables import table
 
 
@@ -81,4 +82,4 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def llm_oracles() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
