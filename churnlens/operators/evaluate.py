@@ -88,16 +88,14 @@ def scaler_stats(df: DataFrame, features: list[str], digits: int = 6) -> DataFra
 def balanced_weights(df: DataFrame, label: str = S.TARGET, out: str = "weight") -> DataFrame:
     """class_weight='balanced': n / (k * n_class) for a 0/1 label.
 
-    n, k and the two class counts enter as scalar subqueries (one-row results),
-    so rows never meet a join or a class-partitioned window.
+    Both class counts come from one aggregate, as a scalar subquery (one row), so
+    rows never meet a join or a class-partitioned window. A null label has no weight.
     """
     y = F.col(label)
-    n = df.select(F.count(F.lit(1))).scalar()
-    k = df.select(F.count_distinct(y)).scalar()
-    n_pos = df.select(F.count_if(y == 1)).scalar()
-    n_neg = df.select(F.count_if(y == 0)).scalar()
-    n_class = F.when(y == 1, n_pos).otherwise(n_neg)
-    return df.withColumn(out, n.cast("double") / (k * n_class))
+    counts = df.select(F.struct(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))).scalar()
+    pos, neg = counts["pos"], counts["neg"]
+    kinds = (pos > 0).cast("int") + (neg > 0).cast("int")
+    return df.withColumn(out, (pos + neg).cast("double") / (kinds * F.when(y == 1, pos).when(y == 0, neg)))
 
 
 def pos_weight(df: DataFrame, label: str = S.TARGET, out: str = "weight") -> DataFrame:

@@ -546,14 +546,15 @@ def q_top_reasons_8(spark, sf):
         f"SELECT idx, feature, {O.rnd('avg(abs(impact))', 4)} AS mean_abs_impact, {O.rnd('max(abs(impact))', 4)} AS max_abs_impact, "
         f"{O.rnd('avg(abs(impact))', 10)} AS _k FROM ct GROUP BY idx, feature) ORDER BY _k DESC, idx LIMIT 15",
         _bg_cte("bg", 300, 42),
-        f"ct AS ({_contrib_sql('bg', 'bg')})",
+        f"ct AS ({_contrib_sql('oh', 'bg')})",
         upto=5,
     ),
 )
 def q_global_importance(spark, sf):
-    sample = EX.background_sample(features_tbl(spark, sf), 300, 42)
-    explainer = EX.LinearExplainer.fit(scorecard(), sample)
-    return EX.global_importance(sample, explainer, 15)
+    """Over every customer; the 300-row sample is the baseline only."""
+    feats = features_tbl(spark, sf)
+    explainer = EX.LinearExplainer.fit(scorecard(), EX.background_sample(feats, 300, 42))
+    return EX.global_importance(feats, explainer, 15)
 
 
 @register(
@@ -838,6 +839,13 @@ def q_sort_by_contract(spark, sf):
     return top.select("customerID", F.col("Contract").cast("string").alias("Contract"), "ChurnProbability")
 
 
+@register("sort_customers", O.with_ctes("SELECT * EXCLUDE (p_raw) FROM sc ORDER BY Contract, customerID"))
+def q_sort_customers(spark, sf):
+    """The whole table in locale order of one column."""
+    rows = R.sort_customers(scored(spark, sf), "Contract", descending=False)
+    return public(rows.withColumn("Contract", F.col("Contract").cast("string")))
+
+
 @register("page_2", O.with_ctes("SELECT * EXCLUDE (p_raw) FROM sc ORDER BY ChurnProbability DESC, customerID LIMIT 25 OFFSET 25"))
 def q_page_2(spark, sf):
     return public(R.page(scored(spark, sf), 2))
