@@ -11,7 +11,8 @@ Work is rows x permutations x background x (F + 1) coalition rows, all
 generated by ``explode`` and scored in one pass (column expressions for linear
 models, one ``transform`` for pyspark.ml models). Permutations and background
 rows are small literals whose size is set by explicit parameters, never by the
-data. The only shuffle groups the per-(customer, feature) differences.
+data. A coalition's score counts for the feature just added and against the next one,
+so the only shuffle groups (customer, feature) sums, combined map-side.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import random
 from collections.abc import Callable
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -117,12 +118,16 @@ def sampled_shapley(
         .otherwise(F.element_at(F.col("z"), i + 1)),
     )
     scored = score(steps.select(key, "j", "b", "k", coalition.alias("v")), "v", "_f")
-    w = Window.partitionBy(key, "j", "b").orderBy("k")
-    diffs = scored.select(key, "j", "b", "k", (F.col("_f") - F.lag("_f").over(w)).alias("d")).where("k > 0")
-    feat_idx = F.element_at(F.element_at(perm_lit, F.col("j") + 1), F.col("k"))
-    attributed = diffs.select(key, feat_idx.alias("idx"), "d")
+    # phi is the mean of f(after) - f(before): each coalition's score counts for the feature that
+    # was just added and against the one that is added next, so no two coalitions need to meet
+    perm = F.element_at(perm_lit, F.col("j") + 1)
+    added = F.when(F.col("k") > 0, F.struct(F.element_at(perm, F.greatest(F.col("k"), F.lit(1))).alias("idx"), F.col("_f").alias("d")))
+    following = F.when(
+        F.col("k") < nf, F.struct(F.element_at(perm, F.least(F.col("k") + 1, F.lit(nf))).alias("idx"), (-F.col("_f")).alias("d"))
+    )
+    attributed = scored.select(key, F.explode(F.array_compact(F.array(added, following))).alias("a")).select(key, "a.*")
     names_lit = F.array(*[F.lit(n) for n in names])
-    phi = attributed.groupBy(key, "idx").agg(F.avg("d").alias("phi"))
+    phi = attributed.groupBy(key, "idx").agg((F.sum("d") / F.lit(len(perms) * len(bg_rows))).alias("phi"))
     return phi.select(key, F.element_at(names_lit, F.col("idx") + 1).alias("feature"), "idx", "phi")
 
 
