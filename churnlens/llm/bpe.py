@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.llm import text as X
+from churnlens.llm.tables import small_batches
 
 #: Merged misses that a worker remembers before it starts anew.
 REMEMBERED = 500_000
@@ -230,6 +231,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
     the broadcast). A null or empty text has no ids. An `ids` column that
     `docs` has already is replaced.
     """
+    small_batches(docs.sparkSession)
     source = docs.drop("ids") if "ids" in docs.columns else docs
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path, pattern))
     rows = source.withColumn("__text", F.col(text_col).cast("string"))

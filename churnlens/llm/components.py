@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnlens.llm.tables import stored
+from churnlens.llm.tables import dealt_anew, stored
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def _large_star(links: DataFrame) -> DataFrame:
     )
     least = both.groupBy("node").agg(F.least("node", F.min("other")).alias("least"))
     return (
-        both.join(least, "node")
+        both.join(dealt_anew(least, "node"), "node")
         .filter("other > node")
         .select(F.col("other").alias("hi"), F.col("least").alias("lo"))
         .distinct()
@@ -53,7 +53,7 @@ def _large_star(links: DataFrame) -> DataFrame:
 def _small_star(links: DataFrame) -> DataFrame:
     """Joins a node and its smaller neighbours to the smallest of them."""
     least = links.groupBy("hi").agg(F.min("lo").alias("least"))
-    moved = links.join(least, "hi").select(F.col("lo").alias("node"), "least")
+    moved = links.join(dealt_anew(least, "hi"), "hi").select(F.col("lo").alias("node"), "least")
     return (
         moved.union(least.select(F.col("hi").alias("node"), "least"))
         .filter("node <> least")

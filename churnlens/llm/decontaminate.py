@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.llm import text as X
+from churnlens.llm.tables import small_batches
 
 WINDOW = 10
 #: Test words sent to the tasks at once; a larger test set takes several passes.
@@ -217,6 +218,7 @@ def verbatim_matches(
     """
     keys = keys or ["doc_id"]
     spark = docs.sparkSession
+    small_batches(spark)
     source = docs.select(*keys, F.col(text_col).cast("string").alias("__text"))
     blocks = list(test_blocks(benchmark, "item_id", "text", window, block_words)) or [test_block([], [], window)]
     if len(blocks) > 1:  # several passes: the matches of a text are brought together by its keys and content
@@ -267,6 +269,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, *
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """`docs` without the rows whose text holds a verbatim window of the test set; same columns."""
     spark = docs.sparkSession
+    small_batches(spark)
     out = docs
     for block in test_blocks(benchmark, "item_id", "text", window, block_words):
         out = out.mapInArrow(_clean_rows(spark.sparkContext.broadcast(block), window, docs.columns.index("text")), docs.schema)

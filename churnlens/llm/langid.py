@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.llm import text as X
-from churnlens.llm.tables import if_short, stored
+from churnlens.llm.tables import if_short, small_batches, stored
 
 LANGUAGES = ("de", "en", "es", "fr")
 BUCKETS = 1 << 13
@@ -157,6 +157,7 @@ def identify(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFra
     an empty table gives an empty result.
     """
     spark = rows.sparkSession
+    small_batches(spark)
     source = rows.select(
         F.col("id").cast("long").alias("id"),
         primary_tag(F.col("declared").cast("string")).alias("declared"),

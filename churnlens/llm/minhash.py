@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from churnlens.llm import text as X
 from churnlens.llm.components import connected_components
-from churnlens.llm.tables import if_short, stored
+from churnlens.llm.tables import dealt_anew, if_short, small_batches, stored
 
 BANDS, ROWS = 24, 5
 #: A block holds about this many members and, unless one set is larger, this many shingles.
@@ -198,6 +198,7 @@ def near_duplicate_classes(
     that repeat an id are one node; each of them is returned. Other columns of
     `docs` are ignored, and an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = stored(
         source.mapInArrow(_sketch_rows(width), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
@@ -217,13 +218,13 @@ def near_duplicate_classes(
 
     bands = reps.select(F.explode("bands").alias("bucket"), "rep", "n")
     counts = bands.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    members = stored(bands.join(counts, "bucket"))
+    members = stored(bands.join(dealt_anew(counts, "bucket"), "bucket"))
 
     # the hub of a bucket: the member whose buckets are the largest
     weight = members.groupBy("rep").agg(F.sum("members").alias("weight"))
-    ranked = members.join(weight, "rep")
+    ranked = members.join(dealt_anew(weight, "rep"), "rep")
     hubs = ranked.groupBy("bucket").agg(F.max(F.struct("weight", -F.col("rep"))).alias("top"))
-    hubs = hubs.select("bucket", (-F.col("top.col2")).alias("hub"))
+    hubs = dealt_anew(hubs.select("bucket", (-F.col("top.col2")).alias("hub")), "bucket")
     pairs = stored(members.join(hubs, "bucket").filter("rep <> hub").select("hub", "rep", "n").distinct())
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = stored(
@@ -237,7 +238,7 @@ def near_duplicate_classes(
     per_hub = pairs.groupBy("hub").agg(
         F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts")
     )
-    spokes = pairs.join(per_hub, "hub").withColumn("part", F.expr("pmod(xxhash64(rep), parts)"))
+    spokes = pairs.join(dealt_anew(per_hub, "hub"), "hub").withColumn("part", F.expr("pmod(xxhash64(rep), parts)"))
     centre = spokes.select("hub", "part").distinct().withColumn("rep", F.col("hub"))
     stars = spokes.select("hub", "part", F.lit(1).alias("side"), "rep").unionByName(
         centre.select("hub", "part", F.lit(0).alias("side"), "rep")
@@ -265,7 +266,7 @@ def near_duplicate_classes(
         F.floor(2 * F.log2("n")) * F.col("parts") + F.expr("pmod(xxhash64(rep), parts)")
     )
     placed = stored(
-        named.join(open_buckets, "bucket").select("bucket", "rep", "n", "component", block.alias("block"))
+        named.join(dealt_anew(open_buckets, "bucket"), "bucket").select("bucket", "rep", "n", "component", block.alias("block"))
     )
     ranges = placed.groupBy("bucket", "block").agg(
         F.min("n").alias("n_lo"),
@@ -335,10 +336,11 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
     Rows with a null id stay.
     """
-    classes = near_duplicate_classes(docs, **options)
-    kept = classes.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("copies"))
+    classes = stored(near_duplicate_classes(docs, **options).select("doc_id", "kept"))
     key = options.get("id_col", "doc_id")
-    out = docs.join(kept.select(F.col("doc_id").alias(key)), key, "left_semi").select(docs.columns)
-    if kept.filter("copies > 1").limit(1).count():
-        out = out.dropDuplicates([key])
-    return out.unionByName(docs.filter(F.col(key).isNull()))
+    dropped = classes.filter("NOT kept").select(F.col("doc_id").alias(key)).distinct()
+    out = docs.join(if_short(dropped), key, "left_anti").select(docs.columns)
+    twice = classes.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
+    if twice.isEmpty():
+        return out
+    return out.filter(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(out.filter(F.col(key).isNull()))

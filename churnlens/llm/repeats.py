@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.llm import text as X
-from churnlens.llm.tables import if_short, stored
+from churnlens.llm.tables import dealt_anew, if_short, small_batches, stored
 
 MIN_WORDS, GRAM = 50, 25
 
@@ -205,19 +205,21 @@ def repeated_spans(
     the other. Null, empty and short texts have no passage; ids may be null;
     an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(text_uid(id_col, text_col).alias("uid"), F.col(text_col).cast("string").alias("text"))
     suffixes = source.mapInArrow(
         _suffix_rows(min_words, gram), "gram long, context long, uid long, at int, lo int, hi int"
     )
     shared = suffixes.select("gram").groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
-    shared = stored(suffixes.join(shared, "gram", "left_semi"))
+    shared = stored(suffixes.join(dealt_anew(shared, "gram"), "gram", "left_semi"))
     contexts = stored(
-        shared.groupBy("gram", "context", "lo", "hi").agg(
+        dealt_anew(shared, "gram").groupBy("gram", "context", "lo", "hi").agg(
             F.count("*").alias("copies"), F.min(F.struct("uid", "at")).alias("one")
         )
     )
     # neighbours that are equal in their whole context repeat as they stand; others have to be extended
     several = contexts.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    several = dealt_anew(several, "gram")
     alone = contexts.join(several, "gram", "left_anti").select(
         "context", F.array(F.struct("lo", "hi", "one.uid", (F.col("one.at") + F.col("lo")).alias("start"))).alias("runs")
     )
@@ -245,7 +247,7 @@ def repeated_spans(
     )
     extended = (
         each.select("window", "context", (F.col("lo") + F.col("step")).alias("shift"))
-        .join(again, "window")
+        .join(dealt_anew(again, "window"), "window")
         .groupBy("context")
         .agg(F.collect_list(F.struct("shift", "uid", "start")).alias("found"))
         .mapInArrow(_run_rows, "context long, runs array<struct<lo:int,hi:int,uid:bigint,start:int>>")
@@ -253,7 +255,7 @@ def repeated_spans(
     per_text = (
         shared.select("uid", "at", "context")
         .distinct()
-        .join(alone.unionByName(extended), "context")
+        .join(dealt_anew(alone.unionByName(extended), "context"), "context")
         .groupBy("uid")
         .agg(F.collect_list(F.struct("at", "runs")).alias("found"))
     )

@@ -25,3 +25,25 @@ SHORT_LIST = 200_000
 def if_short(keys: DataFrame) -> DataFrame:
     """Marks `keys` (rows of a few numbers) for a broadcast if they have been counted to be few."""
     return F.broadcast(keys) if keys.limit(SHORT_LIST + 1).count() <= SHORT_LIST else keys
+
+
+def dealt_anew(df: DataFrame, *keys: str) -> DataFrame:
+    """The same rows, with long keys as new expressions.
+
+    A grouped table is dealt by its key already, and a join would take it as it
+    stands; Spark splits a hot key of a join only if it has dealt both sides
+    for that join itself.
+    """
+    return df.withColumns({key: F.expr(f"`{key}` ^ 0L") for key in keys})
+
+
+#: Rows of whole texts that a Python worker gets at once.
+TEXTS_PER_BATCH = 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows per Arrow batch to TEXTS_PER_BATCH: the default of 10,000 is meant for short values."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > TEXTS_PER_BATCH:
+        spark.conf.set(key, str(TEXTS_PER_BATCH))
