@@ -25,7 +25,7 @@ from churnlens.llm import text as X
 from churnlens.llm.tables import small_batches
 
 #: Merged misses that a worker remembers before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
