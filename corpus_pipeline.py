@@ -23,8 +23,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest id) of each class of near duplicates."""
-    return minhash.drop_near_duplicates(docs)
+    """One document (the smallest id) of each class of near duplicates: links at a similarity of 0.8 or more."""
+    return minhash.drop_near_duplicates(docs, num=80, den=100)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
