@@ -9,6 +9,10 @@ log P(l | row) = log P(l | host) + log P(declared | l) + weighted log P(text | l
 * P(l | host): counts of text languages by host, smoothed towards the counts of
   the address suffix, and those towards the counts of all rows.
 
+l is one of the languages that the rows declare, or unknown: a text of unknown
+language has every trigram bucket with the same probability. It competes like a
+language, so a text that no language explains better than chance is rejected.
+
 All counts are grouped aggregations over whole tables. Only tables whose size
 is set by the parameters (languages x buckets, languages^2) reach the driver;
 priors of hosts and suffixes are joined.
@@ -26,13 +30,18 @@ from pyspark.sql import functions as F
 from churnlens.llm import text as X
 from churnlens.llm.tables import if_short, small_batches, stored
 
+#: Languages of rows that declare none at all.
 LANGUAGES = ("de", "en", "es", "fr")
+#: The class of texts in none of the languages.
+UNKNOWN = "und"
+#: A declared tag is a language with this share of the most frequent one's rows; the most frequent MOST_LANGUAGES are taken.
+LEAST_SHARE, MOST_LANGUAGES = 0.001, 200
 BUCKETS = 1 << 13
 #: Trigrams of a text depend on each other: together they weigh as so many independent ones at most.
 MOST_TRIGRAMS = 300
 #: Rows that a suffix's (host's) counts need to weigh as much as those above them.
 PRIOR_ROWS = 20.0
-#: A row is rejected with fewer letter trigrams than this, or a smaller posterior.
+#: A row is rejected with fewer letter trigrams than this, or a smaller posterior of its language.
 LEAST_TRIGRAMS, LEAST_POSTERIOR = 1, 0.5
 
 # letters are bytes beyond ASCII and a-z; everything else is one kind of space
@@ -79,6 +88,13 @@ def _count_rows(languages: tuple[str, ...]):
     return rows
 
 
+def declared_languages(rows: DataFrame) -> tuple[str, ...]:
+    """The languages that `rows` (declared) state, by name; LANGUAGES if they state none."""
+    tags = rows.filter(F.col("declared").isNotNull() & (F.col("declared") != UNKNOWN)).groupBy("declared").count()
+    most = tags.orderBy(F.desc("count"), "declared").limit(MOST_LANGUAGES).collect()  # MOST_LANGUAGES rows at most
+    return tuple(sorted(r["declared"] for r in most if r["count"] >= LEAST_SHARE * most[0]["count"])) or LANGUAGES
+
+
 def trigram_model(rows: DataFrame, languages: tuple[str, ...]) -> np.ndarray:
     """log P(bucket | language) from all rows that declare one of `languages`; (languages x BUCKETS) numbers."""
     counted = rows.select("declared", "text").mapInArrow(_count_rows(languages), "l int, bucket int, n long")
@@ -132,12 +148,12 @@ def host_suffix(host: Column) -> Column:
     return F.when(out != "", out)
 
 
-def _counts(rows: DataFrame, keys: list[str], languages: tuple[str, ...]) -> DataFrame:
-    sums = [F.sum((F.col("reads") == name).cast("double")) for name in languages]
+def _counts(rows: DataFrame, keys: list[str], classes: tuple[str, ...]) -> DataFrame:
+    sums = [F.sum((F.col("reads") == name).cast("double")) for name in classes]
     return rows.groupBy(*keys).agg(F.array(*sums).alias("counts"))
 
 
-def _smooth(counts: Column, above: Column, languages: tuple[str, ...]) -> Column:
+def _smooth(counts: Column, above: Column) -> Column:
     """(counts + PRIOR_ROWS * above) / total, or `above` where there are no counts."""
     total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
     return F.coalesce(
@@ -145,15 +161,17 @@ def _smooth(counts: Column, above: Column, languages: tuple[str, ...]) -> Column
     )
 
 
-def identify(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
+def identify(rows: DataFrame, languages: tuple[str, ...] | None = None) -> DataFrame:
     """(id, language, posterior, text_language, declared, trigrams, kept) for rows (id, text, declared, host).
 
     `declared` is the language that the markup or the metadata states, `host` an
     address or source name. Any of them may be null: a missing piece of evidence
     weighs nothing. A text without letters (null, empty, digits or symbols) has
-    no language (null), posterior 0, and is not kept. `kept` also asks for a
-    posterior of LEAST_POSTERIOR. Of equal posteriors the first language of
-    `languages` wins. Every row gives one row; repeated rows give equal ones;
+    no language (null), posterior 0, and is not kept. A text that is most
+    probably in none of `languages` has none either; its posterior is that of the
+    most probable language. `kept` also asks for a posterior of LEAST_POSTERIOR.
+    Without `languages` they are the declared ones. Of equal posteriors the first
+    language of `languages` wins. Every row gives one row; repeated rows give equal ones;
     an empty table gives an empty result.
     """
     spark = rows.sparkSession
@@ -164,50 +182,52 @@ def identify(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFra
         F.lower(F.col("host").cast("string")).alias("host"),
         F.col("text").cast("string").alias("text"),
     )
-    model = spark.sparkContext.broadcast(trigram_model(source, languages))
+    languages = languages or declared_languages(source)
+    classes = (*languages, UNKNOWN)
+    chance = np.full((1, BUCKETS), -np.log(BUCKETS))
+    model = spark.sparkContext.broadcast(np.vstack([trigram_model(source, languages), chance]))
     scored = source.mapInArrow(
         _score_rows(model), "id long, declared string, host string, trigrams long, evidence array<double>"
     )
     scored = stored(
-        scored.withColumn("reads", F.when(F.col("trigrams") > 0, _argmax(F.col("evidence"), languages))).withColumn(
+        scored.withColumn("reads", F.when(F.col("trigrams") > 0, _argmax(F.col("evidence"), classes))).withColumn(
             "suffix", host_suffix(F.col("host"))
         )
     )
 
     read = scored.filter("reads IS NOT NULL")
-    totals = dict(read.groupBy("reads").count().collect())  # at most one row for each language
-    everywhere = [totals.get(name, 0) + 1.0 for name in languages]
+    totals = dict(read.groupBy("reads").count().collect())  # at most one row for each class
+    everywhere = [totals.get(name, 0) + 1.0 for name in classes]
     everywhere = F.array(*[F.lit(n / sum(everywhere)) for n in everywhere])
     # one row for each pair of languages; other declared tags count as one kind
     said = F.when(F.col("declared").isin(*languages), F.col("declared")).otherwise(F.lit(""))
     stated = {(r.said, r.reads): r.n for r in read.filter("declared IS NOT NULL").groupBy(said.alias("said"), "reads").agg(F.count("*").alias("n")).collect()}
     kinds = [*languages, ""]
-    sums = {name: sum(stated.get((kind, name), 0) + 1.0 for kind in kinds) for name in languages}
-    weight = F.array(*[F.lit(0.0) for _ in languages])
+    sums = {name: sum(stated.get((kind, name), 0) + 1.0 for kind in kinds) for name in classes}
+    weight = F.array(*[F.lit(0.0) for _ in classes])
     for kind in kinds:
-        logs = [F.lit(float(np.log((stated.get((kind, name), 0) + 1.0) / sums[name]))) for name in languages]
+        logs = [F.lit(float(np.log((stated.get((kind, name), 0) + 1.0) / sums[name]))) for name in classes]
         weight = F.when(F.col("declared").isNotNull() & (said == kind), F.array(*logs)).otherwise(weight)
 
-    by_suffix = _counts(read.filter("suffix IS NOT NULL"), ["suffix"], languages)
-    by_suffix = by_suffix.select("suffix", _smooth(F.col("counts"), everywhere, languages).alias("suffix_prior"))
-    hosts = _counts(read.filter("host IS NOT NULL"), ["host"], languages).withColumn("suffix", host_suffix(F.col("host")))
+    by_suffix = _counts(read.filter("suffix IS NOT NULL"), ["suffix"], classes)
+    by_suffix = by_suffix.select("suffix", _smooth(F.col("counts"), everywhere).alias("suffix_prior"))
+    hosts = _counts(read.filter("host IS NOT NULL"), ["host"], classes).withColumn("suffix", host_suffix(F.col("host")))
     by_host = hosts.join(by_suffix, "suffix", "left").select(
-        "host", _smooth(F.col("counts"), F.coalesce("suffix_prior", everywhere), languages).alias("prior")
+        "host", _smooth(F.col("counts"), F.coalesce("suffix_prior", everywhere)).alias("prior")
     )
     joined = scored.join(by_host, "host", "left").withColumn("prior", F.coalesce("prior", everywhere))
     fused = F.zip_with(
         F.zip_with("evidence", weight, lambda a, b: a + b), F.col("prior"), lambda a, p: a + F.log(p)
     )
     out = joined.withColumn("fused", fused).withColumn("top", F.array_max("fused"))
-    out = out.withColumn(
-        "posterior", 1.0 / F.aggregate("fused", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
-    )
+    total = F.aggregate("fused", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
+    out = out.withColumn("posterior", F.exp(F.array_max(F.slice("fused", 1, len(languages))) - F.col("top")) / total)
     some = F.col("trigrams") >= LEAST_TRIGRAMS
     return out.select(
         "id",
-        F.when(some, _argmax(F.col("fused"), languages)).alias("language"),
+        F.when(some, F.nullif(_argmax(F.col("fused"), classes), F.lit(UNKNOWN))).alias("language"),
         F.when(some, F.col("posterior")).otherwise(0.0).alias("posterior"),
-        F.col("reads").alias("text_language"),
+        F.nullif("reads", F.lit(UNKNOWN)).alias("text_language"),
         "declared",
         "trigrams",
         (some & (F.col("posterior") >= LEAST_POSTERIOR)).alias("kept"),
@@ -232,7 +252,7 @@ def page_evidence(pages: DataFrame, text: Column) -> DataFrame:
     )
 
 
-def drop_unidentified(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
+def drop_unidentified(docs: DataFrame, languages: tuple[str, ...] | None = None) -> DataFrame:
     """`docs` without the rows whose language can't be told; same columns. Rows with a null id are judged by text alone."""
     judged = docs.withColumn("__uid", F.xxhash64("doc_id", "text", "lang", "source"))
     rows = judged.select(F.col("__uid").alias("id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
