@@ -1,8 +1,7 @@
 """Training-side queries (rows-only checks: fitted models are not SQL-expressible).
 
-Tree and boosting-round counts are parameters of the operators (the reference
-values, 300, are the defaults); the registered queries use small counts so a
-correctness run stays in seconds. One training run is shared per (session,
+Tree and boosting-round counts are parameters of the operators; the registered
+queries use the reference's values, as the defaults do. One training run is shared per (session,
 input) by the keys that read its results.
 """
 
@@ -19,10 +18,10 @@ from ..operators import train as TR
 from ..session import scratch_path
 from .catalog import clean_tbl, register
 
-QUERY_TREES = 20
-QUERY_ROUNDS = 20
-TUNE_DRAWS = 4
-TUNE_ITER_SCALE = 0.1
+QUERY_TREES = 300
+QUERY_ROUNDS = 300
+TUNE_DRAWS = 15
+TUNE_ITER_SCALE = 1.0
 
 _CACHE: dict = {}
 
@@ -199,7 +198,9 @@ from ..operators.linear import scorecard  # noqa: E402
 from .catalog import _contrib_sql, features_tbl  # noqa: E402
 from . import oracle as O  # noqa: E402
 
+#: sampled_shapley's background is the one of its SQL.
 SHAPLEY_BG, SHAPLEY_PERMS = 10, 2
+FOREST_BG, FOREST_PERMS = 100, 4
 
 
 @register(
@@ -228,8 +229,8 @@ def _forest_shapley(spark, sf):
     _, fitted = comparison(spark, sf)
     rf = fitted["RandomForest"]
     score = SH.ml_array_score(rf.model)
-    bg = EX.background_sample(ts.train, SHAPLEY_BG, 3)
-    phi = SH.sampled_shapley(ts.test, ts.features, score, bg, m=SHAPLEY_PERMS, seed=7)
+    bg = EX.background_sample(ts.train, FOREST_BG, 3)
+    phi = SH.sampled_shapley(ts.test, ts.features, score, bg, m=FOREST_PERMS, seed=7)
     return phi, score, bg, ts
 
 
