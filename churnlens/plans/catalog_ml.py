@@ -37,6 +37,11 @@ def training(spark: SparkSession, sf: str) -> TR.TrainingSet:
     return _CACHE[k]
 
 
+def customers(ts: TR.TrainingSet) -> DataFrame:
+    """Every customer of both splits."""
+    return ts.train.unionByName(ts.test)
+
+
 def comparison(spark: SparkSession, sf: str):
     k = ("cmp",) + _key(spark, sf)
     if k not in _CACHE:
@@ -123,7 +128,7 @@ def q_training_metadata(spark, sf):
 
 @register("artifacts_roundtrip", None)
 def q_artifacts_roundtrip(spark, sf):
-    """Save the tuned winner with scaler, names and metadata; reload; score the test rows with both."""
+    """Save the tuned winner with scaler, names and metadata; reload; score every customer with both."""
     ts = training(spark, sf)
     best, fm, _, metrics = tuned(spark, sf)
     runs, _ = comparison(spark, sf)
@@ -132,8 +137,8 @@ def q_artifacts_roundtrip(spark, sf):
     TR.save_artifacts(spark, path, fm, ts, meta)
     model, scaler, names, _meta = TR.load_artifacts(spark, path)
     reloaded = TR.FittedModel(best, model.stages[0], fm.scaled, 0.0)
-    before = fm.score(ts.test, ts).select(S.KEY, F.col("p_raw").alias("p_before"))
-    after = reloaded.score(ts.test, ts).select(S.KEY, F.col("p_raw").alias("p_after"))
+    before = fm.score(customers(ts), ts).select(S.KEY, F.col("p_raw").alias("p_before"))
+    after = reloaded.score(customers(ts), ts).select(S.KEY, F.col("p_raw").alias("p_after"))
     joined = before.join(after, S.KEY)
     return joined.select(
         S.KEY,
@@ -167,12 +172,12 @@ def q_run_log(spark, sf):
 
 @register("lr_reasons", None)
 def q_lr_reasons(spark, sf):
-    """Trained logistic model as expressions: top-5 linear SHAP reasons for every test customer."""
+    """Trained logistic model as expressions: top-5 linear SHAP reasons for every customer."""
     ts = training(spark, sf)
     fm = TR.fit("LogisticRegression", ts)
     scorer = TR.to_linear_scorer(fm, ts)
     explainer = EX.LinearExplainer.fit(scorer, EX.background_sample(ts.train, 100, 1))
-    return EX.reasons_long(ts.test, explainer, 5)
+    return EX.reasons_long(customers(ts), explainer, 5)
 
 
 @register("tune_rf", None)
@@ -230,7 +235,7 @@ def _forest_shapley(spark, sf):
     rf = fitted["RandomForest"]
     score = SH.ml_array_score(rf.model)
     bg = EX.background_sample(ts.train, FOREST_BG, 3)
-    phi = SH.sampled_shapley(ts.test, ts.features, score, bg, m=FOREST_PERMS, seed=7)
+    phi = SH.sampled_shapley(customers(ts), ts.features, score, bg, m=FOREST_PERMS, seed=7)
     return phi, score, bg, ts
 
 
@@ -243,7 +248,7 @@ def q_shapley_forest(spark, sf):
 @register("shapley_efficiency", None)
 def q_shapley_efficiency(spark, sf):
     phi, score, bg, ts = _forest_shapley(spark, sf)
-    return SH.efficiency_gap(phi, ts.test, ts.features, score, bg)
+    return SH.efficiency_gap(phi, customers(ts), ts.features, score, bg)
 
 
 @register("score_batch_lr", None)
