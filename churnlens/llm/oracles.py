@@ -136,8 +136,43 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(coalesce(word_chars, 0)
 FROM base
 """
 
+_SHARE = "1 + (CAST(1000000000 AS HUGEINT) * (%s + 2)) // (%s + 2 * v)"
+_APART = "CAST((({0} - {1}) * ({0} - {1})) // ({0} + {1}) AS BIGINT)"
+
+DIVERGENCE = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({_lower("coalesce(text, '')")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents),
+x AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS in_lang FROM x GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(in_lang) AS lang_total FROM kept GROUP BY lang),
+n AS (SELECT lang, source, term, count(*) AS n FROM x SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (
+  SELECT lang, source, coalesce(total, 0) AS total FROM (SELECT DISTINCT lang, source FROM d)
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM n GROUP BY lang, source) USING (lang, source)),
+p AS (
+  SELECT g.lang, g.source, kept.term, coalesce(n, 0) AS n,
+    {_SHARE % ('coalesce(n, 0)', 'total')} AS p, {_SHARE % ('in_lang', 'lang_total')} AS q
+  FROM g JOIN kept USING (lang) JOIN v USING (lang)
+  LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = kept.term),
+apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum({_APART.format('a.p', 'b.p')}) AS value
+  FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN apart ON apart.lang = a.lang AND apart.source = a.source AND apart.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, {_APART.format('p', 'q')} FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM parts)
+WHERE part = 'pair' OR rank <= 10
+"""
+
 ORACLES = {
     "op2_license_scan": LICENSES,
     "op7_quality_rules": QUALITY_RULES,
     "op10_benchmark_decontamination": DECONTAMINATION,
+    "op13_source_divergence": DIVERGENCE,
 }

@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from churnlens.llm import bpe, chat, decontaminate, html_text, langid, licenses, minhash, quality_model, quality_rules, repeats
+from churnlens.llm import (
+    bpe,
+    chat,
+    decontaminate,
+    divergence,
+    html_text,
+    langid,
+    licenses,
+    minhash,
+    packing,
+    quality_model,
+    quality_rules,
+    repeats,
+    spelling,
+)
 from churnlens.llm.oracles import ORACLES
 from churnlens.llm.tables import table
 
@@ -64,6 +78,20 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), path, digest=True)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         op1_language_id,
@@ -76,6 +104,9 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_quality_classifier,
         op9_suffix_array_dedup,
         op10_benchmark_decontamination,
+        op11_spelling_variants,
+        op12_packing,
+        op13_source_divergence,
         language_id_pages,
     ]
     return {f.__name__: f for f in named}
