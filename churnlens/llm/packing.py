@@ -16,6 +16,7 @@ itself exactly. Sequence ids carry the partition in their upper bits.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -243,37 +244,69 @@ def safe_parts(text: str, most: int = PART_CHARS) -> list[str]:
     return [*parts, text[at:]]
 
 
-_tokenizers: dict[str, object] = {}
+# fixed value: the byte-level pattern of the tokenizer files, with possessive repeats (the same matches, no backtracking)
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
 
-def _tokenizer(spec: str):
-    if spec not in _tokenizers:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals the cores
-        from tokenizers import Tokenizer
+def byte_of_letter() -> dict[str, int]:
+    """The letter that a byte-level vocabulary writes for each byte: itself if it prints, else one from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(rest)}
 
-        _tokenizers.clear()
-        made = Tokenizer.from_str(spec)
-        made.encode_special_tokens = True  # their strings in a text are ordinary text
-        _tokenizers[spec] = made
-    return _tokenizers[spec]
+
+def byte_ranks(spec: dict) -> dict[bytes, int] | None:
+    """Ids by token bytes if the file is byte-level BPE whose merges come in the order of their ids, else None."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model["type"] == "BPE" and not spec.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex", True)
+    if not plain or before.get("add_prefix_space") or model.get("dropout") or model.get("ignore_merges"):
+        return None
+    added = {t["content"] for t in spec.get("added_tokens", ())}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    order = [model["vocab"]["".join(pair)] for pair in pairs]
+    if any(a >= b for a, b in zip(order, order[1:])):
+        return None
+    letters = byte_of_letter()
+    return {bytes(letters[c] for c in token): k for token, k in model["vocab"].items() if token not in added}
+
+
+_coders: dict[str, object] = {}
+
+
+def _coder(spec: str):
+    """Function from texts to ids, as the file's library gives them; special tokens' strings are ordinary text.
+
+    Byte-level files are read as ranks, which merge several times faster to the same ids.
+    """
+    if spec not in _coders:
+        _coders.clear()
+        ranks = byte_ranks(json.loads(spec))
+        if ranks:
+            import tiktoken
+
+            made = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            _coders[spec] = lambda texts: [made.encode_to_numpy(t, disallowed_special=()) for t in texts]
+        else:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals the cores
+            from tokenizers import Tokenizer
+
+            other = Tokenizer.from_str(spec)
+            other.encode_special_tokens = True
+            _coders[spec] = lambda texts: [np.array(e.ids, np.uint32) for e in other.encode_batch_fast(texts, add_special_tokens=False)]
+    return _coders[spec]
 
 
 def _document_rows(shared, end_id: int, limits: Limits, digest: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(shared.value)
+        coder, end = _coder(shared.value), np.array([end_id], np.uint32)
 
         def examples():
             count = 0
             for batch in batches:
-                for k in range(0, len(batch), 32):
-                    part = batch.slice(k, 32)
-                    texts = [safe_parts(t or "") for t in part.column(1).to_pylist()]
-                    coded = iter(tokenizer.encode_batch_fast([p for parts in texts for p in parts], add_special_tokens=False))
-                    for key, parts in zip(part.column(0).to_pylist(), texts):
-                        tokens = [i for _ in parts for i in next(coded).ids]
-                        tokens.append(end_id)
-                        yield key, Example(count, np.array(tokens, np.int32), None, 0, len(tokens))
-                        count += 1
+                for key, text in zip(batch.column(0), batch.column(1)):
+                    ids = np.concatenate([*coder(safe_parts(text.as_py() or "")), end])
+                    yield key.as_py(), Example(count, ids, None, 0, len(ids))
+                    count += 1
 
         yield from _emit(examples(), limits, pa.int64(), digest)
 

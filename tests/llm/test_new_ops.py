@@ -1,5 +1,6 @@
 """Spelling variants, packing and source divergence against brute force."""
 
+import json
 import random
 import re
 import zlib
@@ -208,6 +209,19 @@ def test_packing_odd_texts(spark):
     assert dict(back) == want
 
 
+def test_packing_other_tokenizer_file(spark):
+    """A file that is not byte-level goes through its own library; the byte-level one gives that library's ids."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as spec:
+        assert packing.byte_ranks(json.load(spec)) is None
+    tokenizer = Tokenizer.from_file(path)
+    docs = spark.createDataFrame([(1, "Some words, here"), (2, "")], "doc_id long, text string")
+    got = {(r.doc_id, r.start): r.ids for r in packing.pack_documents(docs.coalesce(1), path, end_id=1).collect()}
+    want = [*tokenizer.encode("Some words, here", add_special_tokens=False).ids, 1]
+    assert [i for (d, _), ids in sorted(got.items()) if d == 1 for i in ids] == want
+    assert packing.byte_of_letter()["\u0120"] == 0x20
+
+
 # ---- op13
 
 
