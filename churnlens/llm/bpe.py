@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.llm import text as X
-from churnlens.llm.tables import small_batches
+from churnlens.llm.tables import small_batches, unused
 
 #: Merged misses that a worker remembers before it starts anew.
 REMEMBERED = 150_000
@@ -234,7 +234,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
     small_batches(docs.sparkSession)
     source = docs.drop("ids") if "ids" in docs.columns else docs
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path, pattern))
-    rows = source.withColumn("__text", F.col(text_col).cast("string"))
+    rows = source.withColumn(unused(source, "text"), docs[text_col].cast("string"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields]
     return rows.mapInArrow(_encode_rows(shared), ", ".join([*fields, "ids array<int>"]))
 

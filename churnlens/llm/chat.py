@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from churnlens.llm.tables import small_batches, unused
+
 TURNS = "array<struct<role:string,text:string>>"
 
 #: Field paths of each layout, and where its turns are: (role, path of the text), or for lists of
@@ -41,6 +43,29 @@ LAYOUTS = [
         "paths": ["instruction", "output", "system"],
         "turns": [("system", "system"), ("user", "instruction"), ("assistant", "output")],
     },
+    {
+        "paths": ["input", "instruction", "output", "system"],
+        "turns": [("system", "system"), ("user", "instruction", "input"), ("assistant", "output")],
+    },
+    {
+        "paths": ["completion", "prompt", "system"],
+        "turns": [("system", "system"), ("user", "prompt"), ("assistant", "completion")],
+    },
+    {
+        "paths": ["prompt", "response", "system"],
+        "turns": [("system", "system"), ("user", "prompt"), ("assistant", "response")],
+    },
+    {
+        "paths": ["answer", "context", "question"],
+        "turns": [("user", "context", "question"), ("assistant", "answer")],
+    },
+    {
+        "paths": ["messages[].content", "messages[].role", "system"],
+        "lead": ("system", "system"),
+        "each": ("messages", "role", "content"),
+    },
+    {"paths": ["messages"], "each": ("messages", "role", "content")},
+    {"paths": ["conversations"], "each": ("conversations", "from", "value")},
     {"paths": ["role", "text", "turn"], "one": ("role", "text")},
 ]
 
@@ -79,8 +104,11 @@ def canonical_turns(record: dict) -> list[dict] | None:
     if "each" in layout:
         items, role, text = layout["each"]
         names = layout.get("roles", {})
-        found = [(_text(m.get(role)), _text(m.get(text))) for m in record[items]]
-        return [{"role": names.get(r, r), "text": t} for r, t in found]
+        if record[items] is not None and not isinstance(record[items], list):
+            return None
+        lead = [(layout["lead"][0], _text(record[layout["lead"][1]]))] if "lead" in layout else []
+        found = [(_text(m.get(role)), _text(m.get(text))) for m in record[items] or () if isinstance(m, dict)]
+        return [{"role": names.get(r, r), "text": t} for r, t in lead + found]
     if "one" in layout:
         role, text = layout["one"]
         return [{"role": _text(record[role]), "text": _text(record[text])}]
@@ -111,21 +139,22 @@ def to_turns(records: DataFrame, json_col: str = "record") -> DataFrame:
     Null, malformed and unknown records have null turns, so none is lost from
     sight; a null text is empty.
     """
-    rows = records.select(*[c for c in records.columns if c not in (json_col, "turns")], F.col(json_col).cast("string").alias("__record"))
+    rows = records.select(*[c for c in records.columns if c not in (json_col, "turns")], F.col(json_col).cast("string").alias(unused(records, "raw")))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
     return rows.mapInArrow(_turn_rows, ", ".join([*fields, f"turns {TURNS}"]))
 
 
 # Template: `### role: text </turn>` and a line end for each turn. A backslash
-# before a character in a role or text means the character itself.
-_CONTROL = re.compile(r"\\|###|</turn>")
+# before a character in a role or text means the character itself; control strings
+# are broken up by one, so that they stand nowhere in the output but in the template.
+_CONTROL = re.compile(r"\\|#{3,}|</turn>")
 _TURN = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\]|\\.)*?) </turn>\n", re.S)
 _ESCAPED = re.compile(r"\\(.)", re.S)
 
 
 def escape(text: str) -> str:
-    """Marks backslashes and control strings; unescape() gives the text back."""
-    return _CONTROL.sub(lambda m: "\\" + m[0], text)
+    """Marks backslashes and breaks control strings up; unescape() gives the text back."""
+    return _CONTROL.sub(lambda m: "\\\\" if m[0] == "\\" else "<\\/turn>" if m[0][0] == "<" else "#" + "\\#" * (len(m[0]) - 1), text)
 
 
 def unescape(text: str) -> str:
@@ -173,21 +202,33 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     """(conv_id, formatted, loss_spans) from rows (conv_id, turn, record as JSON).
 
     The turns of a conversation stand in the order of `turn`, then of role and
-    text (nulls first); repeated rows are repeated turns. Rows without turns
-    add nothing. A conversation is one row of the output, and so is brought
-    together in one task; the rows of a null conv_id are one conversation.
+    text (nulls first); repeated rows are repeated turns. Records that no layout
+    fits add no turns (unmapped_records() returns them); a conversation without any turn
+    is empty, not missing. A conversation is one row of the output, and so is
+    brought together in one task; a row without conv_id is a conversation of its
+    own. Very long texts are formatted as a whole; an empty table gives an empty result.
     """
+    small_batches(rows.sparkSession)
     turns = to_turns(rows.select("conv_id", F.col("turn").cast("long").alias("turn"), "record"))
-    placed = turns.select("conv_id", F.posexplode("turns").alias("place", "t"), "turn")
-    whole = placed.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "place", "t.role", "t.text"))).alias("all")
+    placed = turns.select("conv_id", "turn", F.posexplode_outer("turns").alias("place", "t"))
+    kept = F.when(F.col("t").isNotNull(), F.struct("turn", "place", "t.role", "t.text"))
+    whole = placed.filter("conv_id IS NOT NULL").groupBy("conv_id").agg(F.array_sort(F.collect_list(kept)).alias("all"))
+    alone = turns.filter("conv_id IS NULL").select(
+        "conv_id", F.expr("transform(coalesce(turns, array()), (t, k) -> struct(turn, k AS place, t.role AS role, t.text AS text))").alias("all")
     )
+    whole = whole.unionByName(alone)
     ordered = whole.select("conv_id", F.transform("all", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
     return ordered.mapInArrow(
         _format_rows, "conv_id long, formatted string, loss_spans array<struct<start:bigint,end:bigint>>"
     )
 
 
+def unmapped_records(rows: DataFrame) -> DataFrame:
+    """The rows (conv_id, turn, record) whose record is null, malformed or of no known layout; the others are formatted."""
+    marked = to_turns(rows.select("conv_id", "turn", "record", F.col("record").alias("kept_record")), "kept_record")
+    return marked.filter("turns IS NULL").select("conv_id", "turn", "record")
+
+
 def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
     for batch in batches:

@@ -16,13 +16,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from churnlens.llm.tables import small_batches, unused
+
+#: Kinds of input whose value is on the page.
+SHOWN_INPUTS = set("text search url email tel number date month week time datetime-local submit button reset".split())
+
 #: Elements nested more deeply become children of the one at this depth; no text is lost.
 MOST_DEPTH = 200
 
 # Element kinds of the HTML standard.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 RAW = set("script style xmp iframe noembed noframes".split())
-HIDDEN = RAW - {"xmp"} | set("head title template datalist noscript object audio video canvas select textarea svg math".split())
+HIDDEN = RAW - {"xmp"} | set("head title template noscript object audio video canvas datalist defs desc metadata symbol annotation annotation-xml".split())
 BLOCK = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol optgroup option p pre search section summary table "
@@ -140,7 +145,9 @@ def close_one(stack: list[Node], name: str, limits: set[str]) -> None:
 def shown(node: Node) -> bool:
     """Whether visibility rules let the element appear."""
     a = node.attrs
-    if node.tag in HIDDEN or "hidden" in a or (node.tag == "input"):
+    if node.tag in HIDDEN or "hidden" in a:
+        return False
+    if node.tag == "input" and a.get("type", "text").strip().lower() not in SHOWN_INPUTS:
         return False
     if node.tag == "dialog" and "open" not in a:
         return False
@@ -208,6 +215,16 @@ def render(node: Node, canvas: Canvas, pre: bool = False) -> None:
             continue
         if tag == "br":
             canvas.end_line(keep=True)
+        elif tag == "input":
+            canvas.text(child.attrs.get("value", ""), False)
+        elif tag == "textarea":
+            for k, line in enumerate("".join(c for c in child.children if isinstance(c, str)).strip("\r\n").splitlines()):
+                if k:
+                    canvas.end_line(keep=True)
+                canvas.text(line, False)
+        elif tag == "select" and not _listed(child):
+            for option in _chosen(child):
+                canvas.text(option.attrs.get("label", ""), False) if "label" in option.attrs else render(option, canvas)
         elif tag == "hr":
             canvas.block(0)
             canvas.words.append("-" * 8)
@@ -239,6 +256,26 @@ def render(node: Node, canvas: Canvas, pre: bool = False) -> None:
             render(child, canvas, pre)
 
 
+def _listed(select: Node) -> bool:
+    """Whether a select shows all its options, as a list of several lines."""
+    size = select.attrs.get("size", "1").strip()
+    return "multiple" in select.attrs or (size.isdecimal() and len(size) < 6 and int(size) > 1)
+
+
+def _chosen(select: Node) -> list[Node]:
+    """The option that a closed select shows: the last selected one, else the first that can be chosen."""
+    options, nodes = [], [*select.children][::-1]
+    while nodes:
+        node = nodes.pop()
+        if isinstance(node, Node):
+            if node.tag == "option":
+                options.append(node)
+            else:
+                nodes += node.children[::-1]
+    marked = [o for o in options if "selected" in o.attrs]
+    return marked[-1:] or [o for o in options if "disabled" not in o.attrs][:1]
+
+
 def _start(node: Node) -> int:
     value = node.attrs.get("start", "1").strip()
     return int(value) if re.fullmatch(r"-?\d{1,9}", value) else 1
@@ -329,9 +366,11 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
     Malformed markup is read as a browser would as far as its text goes:
     unknown and stray tags are dropped, an unclosed element ends with its
-    parent. Every row gives one row, repeated rows too.
+    parent. Every row gives one row, repeated rows too; a very long page is read as a
+    whole, and an empty table gives an empty result.
     """
     names = [c for c in pages.columns if c != "visible_text"]
-    rows = pages.select(*names, F.col(html_col).cast("string").alias("__html"))
+    small_batches(pages.sparkSession)
+    rows = pages.select(*names, F.col(html_col).cast("string").alias(unused(pages, "source")))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
     return rows.mapInArrow(_text_rows, ", ".join([*fields, "visible_text string"]))

@@ -9,13 +9,14 @@ log P(l | row) = log P(l | host) + log P(declared | l) + weighted log P(text | l
 * P(l | host): counts of text languages by host, smoothed towards the counts of
   the address suffix, and those towards the counts of all rows.
 
-l is one of the languages that the rows declare, or unknown: a text of unknown
-language has every trigram bucket with the same probability. It competes like a
-language, so a text that no language explains better than chance is rejected.
-
-All counts are grouped aggregations over whole tables. Only tables whose size
-is set by the parameters (languages x buckets, languages^2) reach the driver;
-priors of hosts and suffixes are joined.
+l is one of the languages that the rows declare, however rarely, or unknown: a
+text of unknown language has every trigram bucket with the same probability. It
+competes like a language, so a text that no language explains better than chance
+is rejected; a declared language is trusted up to a margin for each trigram.
+
+All counts are grouped aggregations over whole tables. Only tables of languages x
+buckets and languages^2 reach the driver (a tag has two or three letters, so
+there are 18,252 at most); priors of hosts and suffixes are joined.
 """
 
 from __future__ import annotations
@@ -28,14 +29,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.llm import text as X
-from churnlens.llm.tables import if_short, small_batches, stored
+from churnlens.llm.tables import if_short, small_batches, stored, unused
 
 #: Languages of rows that declare none at all.
 LANGUAGES = ("de", "en", "es", "fr")
 #: The class of texts in none of the languages.
 UNKNOWN = "und"
-#: A declared tag is a language with this share of the most frequent one's rows; the most frequent MOST_LANGUAGES are taken.
-LEAST_SHARE, MOST_LANGUAGES = 0.001, 200
+#: A row that declares one of the languages is of none of them only if all explain its trigrams by so many nats each worse than
+#: chance. Codes and boilerplate in a known language cost up to 0.95 on the given tables, letter noise and other scripts 3.6 and more.
+UNKNOWN_MARGIN = 1.1
 BUCKETS = 1 << 13
 #: Trigrams of a text depend on each other: together they weigh as so many independent ones at most.
 MOST_TRIGRAMS = 300
@@ -90,9 +92,8 @@ def _count_rows(languages: tuple[str, ...]):
 
 def declared_languages(rows: DataFrame) -> tuple[str, ...]:
     """The languages that `rows` (declared) state, by name; LANGUAGES if they state none."""
-    tags = rows.filter(F.col("declared").isNotNull() & (F.col("declared") != UNKNOWN)).groupBy("declared").count()
-    most = tags.orderBy(F.desc("count"), "declared").limit(MOST_LANGUAGES).collect()  # MOST_LANGUAGES rows at most
-    return tuple(sorted(r["declared"] for r in most if r["count"] >= LEAST_SHARE * most[0]["count"])) or LANGUAGES
+    tags = rows.filter(F.col("declared").isNotNull() & (F.col("declared") != UNKNOWN)).select("declared").distinct()
+    return tuple(sorted(r["declared"] for r in tags.collect())) or LANGUAGES  # tags of two or three letters
 
 
 def trigram_model(rows: DataFrame, languages: tuple[str, ...]) -> np.ndarray:
@@ -204,10 +205,12 @@ def identify(rows: DataFrame, languages: tuple[str, ...] | None = None) -> DataF
     stated = {(r.said, r.reads): r.n for r in read.filter("declared IS NOT NULL").groupBy(said.alias("said"), "reads").agg(F.count("*").alias("n")).collect()}
     kinds = [*languages, ""]
     sums = {name: sum(stated.get((kind, name), 0) + 1.0 for kind in kinds) for name in classes}
-    weight = F.array(*[F.lit(0.0) for _ in classes])
-    for kind in kinds:
-        logs = [F.lit(float(np.log((stated.get((kind, name), 0) + 1.0) / sums[name]))) for name in classes]
-        weight = F.when(F.col("declared").isNotNull() & (said == kind), F.array(*logs)).otherwise(weight)
+    weights = [
+        (kind, [float(np.log((stated.get((kind, name), 0) + 1.0) / sums[name])) for name in classes]) for kind in kinds
+    ]
+    weights = spark.createDataFrame(weights, "said string, weight array<double>")  # one row for each language
+    scored = scored.withColumn("said", F.when(F.col("declared").isNotNull(), said)).join(F.broadcast(weights), "said", "left")
+    weight = F.coalesce("weight", F.array(*[F.lit(0.0) for _ in classes]))
 
     by_suffix = _counts(read.filter("suffix IS NOT NULL"), ["suffix"], classes)
     by_suffix = by_suffix.select("suffix", _smooth(F.col("counts"), everywhere).alias("suffix_prior"))
@@ -219,6 +222,9 @@ def identify(rows: DataFrame, languages: tuple[str, ...] | None = None) -> DataF
     fused = F.zip_with(
         F.zip_with("evidence", weight, lambda a, b: a + b), F.col("prior"), lambda a, p: a + F.log(p)
     )
+    trusted = F.when(F.col("said") != "", F.least(F.col("trigrams"), F.lit(MOST_TRIGRAMS)) * UNKNOWN_MARGIN).otherwise(0.0)
+    unknown = F.element_at(fused, -1) - trusted
+    fused = F.concat(F.slice(fused, 1, len(languages)), F.array(unknown))
     out = joined.withColumn("fused", fused).withColumn("top", F.array_max("fused"))
     total = F.aggregate("fused", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
     out = out.withColumn("posterior", F.exp(F.array_max(F.slice("fused", 1, len(languages))) - F.col("top")) / total)
@@ -254,7 +260,8 @@ def page_evidence(pages: DataFrame, text: Column) -> DataFrame:
 
 def drop_unidentified(docs: DataFrame, languages: tuple[str, ...] | None = None) -> DataFrame:
     """`docs` without the rows whose language can't be told; same columns. Rows with a null id are judged by text alone."""
-    judged = docs.withColumn("__uid", F.xxhash64("doc_id", "text", "lang", "source"))
-    rows = judged.select(F.col("__uid").alias("id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
-    rejected = stored(identify(rows, languages).filter("NOT kept").select(F.col("id").alias("__uid")).distinct())
-    return judged.join(if_short(rejected), "__uid", "left_anti").select(*docs.columns)
+    uid = unused(docs, "uid")
+    judged = docs.withColumn(uid, F.xxhash64("doc_id", "text", "lang", "source"))
+    rows = judged.select(F.col(uid).alias("id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
+    rejected = stored(identify(rows, languages).filter("NOT kept").select(F.col("id").alias(uid)).distinct())
+    return judged.join(if_short(rejected), uid, "left_anti").select(*docs.columns)

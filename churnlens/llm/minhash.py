@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from churnlens.llm import text as X
 from churnlens.llm.components import connected_components
-from churnlens.llm.tables import dealt_anew, if_short, small_batches, stored
+from churnlens.llm.tables import dealt_anew, if_short, small_batches, stored, unused
 
 BANDS, ROWS = 24, 5
 #: A block holds about this many members and, unless one set is larger, this many shingles.
@@ -195,26 +195,51 @@ def near_duplicate_classes(
     a text with fewer words has its whole sequence as one shingle. Null, empty
     and blank texts have an empty set and are linked with nothing. A row with a
     null id is linked with nothing: its component is null and it is kept. Rows
-    that repeat an id are one node; each of them is returned. Other columns of
+    that repeat an id are one node, even on different texts; each of them is returned. A very long text is one set. Other columns of
     `docs` are ignored, and an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketch = stored(
-        source.mapInArrow(_sketch_rows(width), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
+    columns = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"
+    sketch = stored(source.mapInArrow(_sketch_rows(width), columns))
+    twice = (
+        sketch.filter("doc_id IS NOT NULL AND n_shingles > 0")
+        .groupBy("doc_id")
+        .agg(F.count("*").alias("c"), F.min("h1").alias("x"), F.max("h1").alias("y"))
+        .filter("c > 1 AND x <> y")
+        .select("doc_id")
     )
+    if twice.isEmpty():
+        return _classes(source, sketch, None, num, den, width)
+    # ids on several texts: each such text is a node of its own, linked to the others of its id
+    twice = stored(twice)
+    node = F.when(F.col("shared"), -1 - F.abs(F.xxhash64("doc_id", "text") % (1 << 62))).otherwise(F.col("doc_id"))
+    marked = source.join(if_short(twice.withColumn("shared", F.lit(True))), "doc_id", "left")
+    source = stored(marked.select(F.col("doc_id").alias("id"), node.alias("doc_id"), "text", "shared"))
+    ids = source.filter("shared").select("id", F.col("doc_id").alias("node")).distinct()
+    centre = ids.groupBy("id").agg(F.min("node").alias("b"))
+    links = ids.join(centre, "id").select(F.col("node").alias("a"), "b").filter("a <> b")
+    source = source.select("doc_id", "text")
+    found = stored(_classes(source, stored(source.mapInArrow(_sketch_rows(width), columns)), links, num, den, width))
+    named = found.join(ids, found["doc_id"] == ids["node"], "left").select(
+        F.coalesce("id", "doc_id").alias("doc_id"), "n_shingles", F.col("component_id").alias("top")
+    )
+    least = named.filter("top IS NOT NULL").groupBy("top").agg(F.min("doc_id").alias("component_id"))
+    return named.join(dealt_anew(least, "top"), "top", "left").select(
+        "doc_id",
+        "n_shingles",
+        "component_id",
+        F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"),
+    )
+
+
+def _classes(source: DataFrame, sketch: DataFrame, same_id: DataFrame | None, num: int, den: int, width: int) -> DataFrame:
+    """near_duplicate_classes() of rows (doc_id, text) whose ids stand on one set each; `same_id` are further links."""
     linked = sketch.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = linked.groupBy("h1", "h2", "n_shingles").agg(
         F.min("doc_id").alias("rep"), F.first("bands").alias("bands")
     )
     reps = stored(classes.withColumnRenamed("n_shingles", "n"))
-    # one id on two texts joins their classes
-    twice = linked.groupBy("doc_id").agg(F.count("*").alias("c"), F.min("h1").alias("x"), F.max("h1").alias("y"))
-    same_id = (
-        linked.join(twice.filter("c > 1 AND x <> y").select("doc_id"), "doc_id")
-        .join(reps.select("h1", "h2", "rep"), ["h1", "h2"])
-        .select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    )
 
     bands = reps.select(F.explode("bands").alias("bucket"), "rep", "n")
     counts = bands.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
@@ -244,7 +269,10 @@ def near_duplicate_classes(
         centre.select("hub", "part", F.lit(0).alias("side"), "rep")
     )
     star_links = _check_pairs(stars.withColumn("component", F.col("rep")), sets, ["hub", "part"], num, den)
-    star_links = star_links.unionByName(same_id)
+    if same_id is not None:
+        rep_of = linked.join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).select("doc_id", "rep").distinct()
+        ends = same_id.join(rep_of.toDF("a", "x"), "a").join(rep_of.toDF("b", "y"), "b")
+        star_links = star_links.unionByName(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
     nodes = stored(connected_components(star_links))
 
     # buckets whose members, the hub aside, are of several components: compare them in blocks
@@ -332,15 +360,18 @@ def near_duplicate_classes(
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """`docs` with the smallest id of each class only, same columns; repeated rows of that id are one.
+    """`docs` with the smallest id of each class only, same columns; of repeated rows of that id, equal in words, one stays.
 
-    Rows with a null id stay.
+    Rows with a null id stay, and so do different texts under the id that is kept.
     """
     classes = stored(near_duplicate_classes(docs, **options).select("doc_id", "kept"))
-    key = options.get("id_col", "doc_id")
+    key, text = options.get("id_col", "doc_id"), options.get("text_col", "text")
     dropped = classes.filter("NOT kept").select(F.col("doc_id").alias(key)).distinct()
     out = docs.join(if_short(dropped), key, "left_anti").select(docs.columns)
     twice = classes.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
     if twice.isEmpty():
         return out
-    return out.filter(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(out.filter(F.col(key).isNull()))
+    words = unused(docs, "words")
+    named = out.filter(F.col(key).isNotNull())
+    named = named.withColumn(words, F.lower(F.trim(F.regexp_replace(F.coalesce(F.col(text).cast("string"), F.lit("")), r"[ \t-\r]+", " "))))
+    return named.dropDuplicates([key, words]).drop(words).unionByName(out.filter(F.col(key).isNull()))

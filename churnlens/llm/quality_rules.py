@@ -129,7 +129,9 @@ def jensen_shannon(p: Column, q: Column) -> Column:
         return F.when(a > 0, a * F.log2(a / m)).otherwise(F.lit(0.0))
 
     terms = F.zip_with(p, q, lambda a, b: (part(a, (a + b) / 2) + part(b, (a + b) / 2)) / 2)
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)))
+    total = F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
+    # greatest() skips nulls
+    return F.when(total.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), total)))
 
 
 def references(counted: DataFrame) -> DataFrame:

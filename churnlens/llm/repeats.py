@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.llm import text as X
-from churnlens.llm.tables import dealt_anew, if_short, small_batches, stored
+from churnlens.llm.tables import dealt_anew, if_short, small_batches, stored, unused
 
 MIN_WORDS, GRAM = 50, 25
 
@@ -314,8 +314,9 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Every row stays. A text that is cut as a whole becomes empty.
     """
     spans = repeated_spans(docs, id_col=id_col, text_col=text_col, **options)
-    spans = spans.filter(F.size("cut") > 0).select(F.col("uid").alias("__uid"), F.col("cut").alias("__cut"))
-    joined = docs.withColumn("__uid", text_uid(id_col, text_col)).join(spans, "__uid", "left")
-    return joined.select(*docs.columns, "__cut").mapInArrow(
+    uid, cut = unused(docs, "uid"), unused(docs, "cut")
+    spans = spans.filter(F.size("cut") > 0).select(F.col("uid").alias(uid), F.col("cut").alias(cut))
+    joined = docs.withColumn(uid, text_uid(id_col, text_col)).join(spans, uid, "left")
+    return joined.select(*docs.columns, cut).mapInArrow(
         _cut_rows(docs.columns.index(text_col), docs.columns), docs.schema
     )

@@ -18,6 +18,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, with underscores in front until no column of `df` is called so (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 #: A list of keys up to this many rows may be sent to every executor; a longer one is joined by a shuffle.
 SHORT_LIST = 200_000
 

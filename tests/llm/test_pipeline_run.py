@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_names_and_stages():
     names = list(E.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert "pipeline" in names and len(corpus_pipeline.STAGES) == 5
 
@@ -23,7 +23,7 @@ def test_names_and_stages():
 def test_run_equals_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     rows = [(r.doc_id, r.text) for r in docs if any(c.isalpha() for c in r.text or "")]
-    kept = {d for d, _, _, keep in brute_near(rows) if keep}
+    kept = {d for d, _, _, keep in brute_near(rows, 80) if keep}
     rows = [(d, t) for d, t in rows if d in kept]
     uid = {
         r.doc_id: r.uid

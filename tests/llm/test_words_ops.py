@@ -73,7 +73,7 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def brute_near(rows):
+def brute_near(rows, num=85, den=100):
     sets = {}
     for d, t in rows:
         w = spaced(t, lower=True)
@@ -95,7 +95,7 @@ def brute_near(rows):
     for d in ids:
         for s in sets[d]:
             for o in {o for x in s for o in by_shingle[x] if o < d}:
-                if any(100 * len(s & p) >= 85 * len(s | p) for p in sets[o]):
+                if any(den * len(s & p) >= num * len(s | p) for p in sets[o]):
                     a, b = find(d), find(o)
                     root[max(a, b)] = min(a, b)
     return sorted(
