@@ -1,7 +1,6 @@
 """Column expressions shared by the operators.
 
-All of these are built-in Spark expressions (whole-stage codegen); no Python
-UDF is used anywhere in the library.
+All of these are built-in Spark expressions (whole-stage codegen).
 """
 
 from __future__ import annotations

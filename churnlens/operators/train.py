@@ -369,6 +369,14 @@ def load_scorer(spark: SparkSession, path: str) -> LinearScorer | ModelScorer:
     return ModelScorer(metadata["best_model"], model, names, scaled)
 
 
+def tuned_run(spark: SparkSession, best: str, fm: FittedModel, info: dict | None, metrics: dict) -> DataFrame:
+    """The run row of the tuned winner: searched parameters and the cross-validated AUC beside its own ones."""
+    params = fm.params | ({**info["params"], "cv_roc_auc": info["cv_auc"]} if info else {})
+    row = (len(CANDIDATES), f"{best} (tuned)", *[float(metrics[m]) for m in ("accuracy", "precision", "recall", "f1", "roc_auc")],
+           round(fm.seconds, 3), {k: str(v) for k, v in params.items()})
+    return spark.createDataFrame([row], RUN_SCHEMA)
+
+
 def log_run(runs: DataFrame, path: str, run_id: str) -> DataFrame:
     """Append the runs of one training job to a run table (one row per candidate)."""
     out = runs.withColumn("run_id", F.lit(run_id)).withColumn("logged_at", F.current_timestamp())

@@ -15,6 +15,7 @@ from ..functions.exprs import round_half_even
 from ..operators import evaluate as EV
 from ..operators import explain as EX
 from ..operators import train as TR
+from ..operators import trees as TX
 from ..session import scratch_path
 from .catalog import clean_tbl, register
 
@@ -164,10 +165,13 @@ def q_score_from_artifacts(spark, sf):
 
 @register("run_log", None)
 def q_run_log(spark, sf):
+    """The run table: every candidate and the tuned winner, with parameters and metrics."""
     runs, _ = comparison(spark, sf)
+    best, fm, info, metrics = tuned(spark, sf)
     path = scratch_path(spark, "runs")
-    TR.log_run(runs.drop("params"), path, "candidates")
-    return spark.read.parquet(path)
+    TR.log_run(runs, path, "candidates")
+    TR.log_run(TR.tuned_run(spark, best, fm, info, metrics), path, "tuned")
+    return spark.read.parquet(path).withColumn("params", F.to_json("params"))
 
 
 @register("lr_reasons", None)
@@ -205,7 +209,7 @@ from . import oracle as O  # noqa: E402
 
 #: sampled_shapley's background is the one of its SQL.
 SHAPLEY_BG, SHAPLEY_PERMS = 10, 2
-FOREST_BG, FOREST_PERMS = 100, 4
+FOREST_BG = 100
 
 
 @register(
@@ -229,26 +233,64 @@ def q_sampled_shapley(spark, sf):
     return phi.select("customerID", "feature", round_half_even(F.col("phi"), 4).alias("phi"))
 
 
-def _forest_shapley(spark, sf):
+def fitted_model(spark, sf, name: str) -> TR.FittedModel:
+    """The candidate of this name: from the comparison if that has run, else fitted alone."""
+    done = _CACHE.get(("cmp",) + _key(spark, sf))
+    if done:
+        return done[1][name]
+    k = ("fit", name) + _key(spark, sf)
+    if k not in _CACHE:
+        _CACHE[k] = TR.fit(name, training(spark, sf), trees=QUERY_TREES, rounds=QUERY_ROUNDS)
+    return _CACHE[k]
+
+
+def _forest(spark, sf):
+    """The forest, its exact explainer against FOREST_BG training rows, and those rows."""
     ts = training(spark, sf)
-    _, fitted = comparison(spark, sf)
-    rf = fitted["RandomForest"]
-    score = SH.ml_array_score(rf.model)
+    rf = fitted_model(spark, sf, "RandomForest")
     bg = EX.background_sample(ts.train, FOREST_BG, 3)
-    phi = SH.sampled_shapley(customers(ts), ts.features, score, bg, m=FOREST_PERMS, seed=7)
-    return phi, score, bg, ts
+    return ts, rf, TX.TreeExplainer.fit(rf.model, ts.features, bg), bg
 
 
 @register("shapley_forest", None)
 def q_shapley_forest(spark, sf):
-    phi, _, _, _ = _forest_shapley(spark, sf)
+    """Exact Shapley values of the forest's probability for every customer and feature."""
+    ts, _, explainer, _ = _forest(spark, sf)
+    phi = TX.tree_shapley(customers(ts), explainer, S.KEY)
     return phi.select("customerID", "feature", round_half_even(F.col("phi"), 6).alias("phi"))
 
 
 @register("shapley_efficiency", None)
 def q_shapley_efficiency(spark, sf):
-    phi, score, bg, ts = _forest_shapley(spark, sf)
-    return SH.efficiency_gap(phi, customers(ts), ts.features, score, bg)
+    """Sum of the exact values against the model's own scores of customers and background."""
+    ts, rf, explainer, bg = _forest(spark, sf)
+    phi = TX.tree_shapley(customers(ts), explainer, S.KEY)
+    return SH.efficiency_gap(phi, customers(ts), ts.features, SH.ml_array_score(rf.model), bg)
+
+
+def boosted_scorer(spark, sf) -> tuple[TR.ModelScorer, TX.TreeExplainer]:
+    """The boosted trees as scorer and explainer, both from saved artifacts."""
+    ts = training(spark, sf)
+    gbt = fitted_model(spark, sf, "GBT")
+    path = scratch_path(spark, "artifacts")
+    runs = spark.createDataFrame([("GBT", *[0.0] * len(S.METRIC_NAMES))], "model string, " + ", ".join(f"{m} double" for m in S.METRIC_NAMES))
+    TR.save_artifacts(spark, path, gbt, ts, TR.training_metadata(spark, runs, "GBT", {}, ts))
+    scorer = TR.load_scorer(spark, path)
+    bg = EX.background_sample(ts.train, 100, 1)
+    return scorer, TX.TreeExplainer.fit(scorer.model, scorer.feature_names, bg)
+
+
+@register("score_batch_trees", None)
+def q_score_batch_trees(spark, sf):
+    """Every customer scored by the boosted trees with its five main reasons in log-odds."""
+    from ..operators import score as SC
+    from .catalog import raw
+
+    scorer, explainer = boosted_scorer(spark, sf)
+    out = SC.score_batch(raw(spark, sf), scorer, explainer=explainer)
+    return out.select("customerID", "ChurnProbability", "Prediction", "RiskLevel", F.posexplode("top_reasons").alias("pos", "r")).select(
+        "customerID", "ChurnProbability", "Prediction", "RiskLevel", (F.col("pos") + 1).alias("rank"), "r.*"
+    )
 
 
 @register("score_batch_lr", None)

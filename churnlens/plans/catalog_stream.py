@@ -18,27 +18,29 @@ from .catalog import RECORDS_SQL, VALIDATED, _bg_cte, _contrib_sql, _reasons_bod
 _CACHE: dict = {}
 
 
-def run_stream(spark: SparkSession, sf: str) -> ST.StreamPaths:
-    key = (spark.sparkContext.applicationId, sf)
-    if key in _CACHE:
-        return _CACHE[key]
+def drain(spark: SparkSession, sf: str, scorer, explainer) -> ST.StreamPaths:
+    """All raw records, arriving as the files of the tasks that wrote them, scored by a stream."""
     base = scratch_path(spark, "stream")
     paths = ST.StreamPaths(f"{base}/in", f"{base}/scored", f"{base}/quarantine", f"{base}/ckpt")
-    # arrivals: the raw records land as the files of the tasks that wrote them
     raw(spark, sf).write.mode("overwrite").parquet(paths.source)
-    sc = scorecard()
-    explainer = EX.LinearExplainer.fit(sc, EX.background_sample(features_tbl(spark, sf), 100, 1))
     schema = spark.read.parquet(paths.source).schema
-    queries = ST.start(spark, paths, sc, explainer, schema=schema, high_value="single")
-    ST.run_to_completion(queries)
-    _CACHE[key] = paths
+    ST.run_to_completion(ST.start(spark, paths, scorer, explainer, schema=schema, high_value="single"))
     return paths
 
 
+def run_stream(spark: SparkSession, sf: str) -> ST.StreamPaths:
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _CACHE:
+        sc = scorecard()
+        explainer = EX.LinearExplainer.fit(sc, EX.background_sample(features_tbl(spark, sf), 100, 1))
+        _CACHE[key] = drain(spark, sf, sc, explainer)
+    return _CACHE[key]
+
+
 @register("score_stream", RECORDS_SQL)
 def q_score_stream(spark, sf):
     paths = run_stream(spark, sf)
-    return spark.read.parquet(paths.scored).drop("top_reasons", "p_raw")
+    return ST.read_sink(spark, paths, "scored").drop("top_reasons", "p_raw")
 
 
 @register(
@@ -47,7 +49,7 @@ def q_score_stream(spark, sf):
 )
 def q_score_stream_quarantine(spark, sf):
     paths = run_stream(spark, sf)
-    bad = spark.read.parquet(paths.quarantine)
+    bad = ST.read_sink(spark, paths, "quarantine")
     return bad.select("src_ord", "customerID", F.array_join("errors", "; ").alias("errors"))
 
 
@@ -73,7 +75,7 @@ def _stream_reasons_sql() -> str:
 @register("score_stream_reasons", _stream_reasons_sql())
 def q_score_stream_reasons(spark, sf):
     paths = run_stream(spark, sf)
-    out = spark.read.parquet(paths.scored).select("src_ord", F.posexplode("top_reasons").alias("pos", "r"))
+    out = ST.read_sink(spark, paths, "scored").select("src_ord", F.posexplode("top_reasons").alias("pos", "r"))
     return out.select(
         "src_ord",
         (F.col("pos") + 1).alias("rank"),
@@ -82,3 +84,15 @@ def q_score_stream_reasons(spark, sf):
         F.col("r.impact").alias("impact"),
         F.col("r.direction").alias("direction"),
     )
+
+
+@register("score_stream_trees", None)
+def q_score_stream_trees(spark, sf):
+    """Every record scored by the boosted trees on a stream, with its five main reasons in log-odds."""
+    from .catalog_ml import boosted_scorer
+
+    scorer, explainer = boosted_scorer(spark, sf)
+    out = ST.read_sink(spark, drain(spark, sf, scorer, explainer), "scored")
+    return out.select("src_ord", "ChurnProbability", "Prediction", "RiskLevel", F.posexplode("top_reasons").alias("pos", "r")).select(
+        "src_ord", "ChurnProbability", "Prediction", "RiskLevel", (F.col("pos") + 1).alias("rank"), "r.*"
+    )
