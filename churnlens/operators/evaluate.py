@@ -4,7 +4,7 @@ scaler, class weights, confusion metrics and exact ROC-AUC.
 All of them are set-based Spark jobs. Split and folds use md5-ordered rank
 bands (see ordering.py): a row's band needs its exact rank only inside the
 handful of buckets that straddle a cut. AUC aggregates to distinct scores and
-turns the prefix sum of negatives into per-bucket offsets, so no window ever
+takes prefix sums of the negatives over ranges of them, so no window ever
 spans the whole table.
 """
 
@@ -12,12 +12,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.exprs import c, md5_order_key, round_half_even, safe_ratio
-from .ordering import ceil_fraction, equal_folds, hash_bands
+from .ordering import ceil_fraction, equal_folds, hash_bands, prefix_sums
 
 
 # ---------------------------------------------------------------------------------------
@@ -138,31 +138,21 @@ def binary_metrics(df: DataFrame, p: str = "p_raw", label: str = S.TARGET) -> Da
     return metrics_from_counts(confusion_counts(df, p, label))
 
 
-def auc_value(df: DataFrame, p: str = "p_raw", label: str = S.TARGET, buckets: int = 1024) -> Column:
+def auc_value(df: DataFrame, p: str = "p_raw", label: str = S.TARGET, parts: int | None = None) -> Column:
     """Exact ROC-AUC (ties count one half) as a scalar subquery column.
 
     1. aggregate to distinct scores: (score, pos, neg) with map-side partial agg;
-    2. bucket scores into ``buckets`` equal-width ranges of [0, 1]; per-bucket
-       negative totals give each bucket's offset (a window over <= ``buckets`` rows);
-    3. inside a bucket, a window (partitioned by bucket) gives negatives strictly
-       below each score; sum pos * (neg_below + neg / 2) / (P * N).
+    2. prefix sums of the negatives over ranges of the scores (``prefix_sums``);
+    3. sum pos * (negatives below + neg / 2) / (P * N).
     """
     score = F.col(p).cast("double")
     y = F.col(label).cast("int")
     per_score = df.groupBy(score.alias("s")).agg(
         F.sum(y).cast("bigint").alias("pos"), F.sum(1 - y).cast("bigint").alias("neg")
     )
-    bucket = F.least(F.greatest(F.floor(F.col("s") * buckets), F.lit(0)), F.lit(buckets - 1)).cast("int")
-    with_b = per_score.withColumn("b", bucket)
-    per_bucket = with_b.groupBy("b").agg(F.sum("neg").alias("bneg"))
-    offsets = per_bucket.withColumn(
-        "off", F.coalesce(F.sum("bneg").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).select("b", "off")
-    inner = Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = with_b.withColumn("below", F.coalesce(F.sum("neg").over(inner), F.lit(0)))
-    joined = ranked.join(F.broadcast(offsets), "b")
-    total = joined.agg(
-        (F.sum(F.col("pos") * (F.col("off") + F.col("below") + F.col("neg") / 2.0))
+    ranked = prefix_sums(per_score, [F.asc_nulls_first("s")], "neg", parts)
+    total = ranked.agg(
+        (F.sum(F.col("pos") * (F.col("before") + F.col("neg") / 2.0))
          / (F.sum("pos").cast("double") * F.sum("neg").cast("double"))).alias("auc")
     )
     return total.scalar()

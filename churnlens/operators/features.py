@@ -27,6 +27,7 @@ from ..functions.exprs import (
     sql_str,
     tenure_group,
 )
+from .ordering import exact_quantile
 
 MAX_VOCAB_LEVELS = 100_000  # bound on the collected vocabulary (per fit)
 
@@ -39,7 +40,7 @@ class HighValueThreshold:
     """``MonthlyCharges`` strictly above the 0.75 quantile (linear interpolation).
 
     mode ``batch``: quantile of the frame being scored (reference parity; a scalar
-    subquery over that frame). ``single``: record-at-a-time scoring, always 0.
+    subquery over that frame, or ``exact_quantile`` where values are ``unbounded``). ``single``: record-at-a-time scoring, always 0.
     ``fitted``: threshold learned once (``fit``) and applied to later frames/streams.
     """
 
@@ -47,6 +48,7 @@ class HighValueThreshold:
     threshold: float | None = None
     quantile: float = S.HIGH_VALUE_QUANTILE
     exact: bool = True  # exact keeps one counter per distinct value (cents: bounded)
+    unbounded: bool = False  # many distinct values: two more passes over the distinct ones in place of the counters
 
     def _quantile(self, col: str = "MonthlyCharges") -> Column:
         if self.exact:
@@ -56,8 +58,10 @@ class HighValueThreshold:
 
     @classmethod
     def fit(cls, df: DataFrame, quantile: float = S.HIGH_VALUE_QUANTILE, exact: bool = True) -> "HighValueThreshold":
-        probe = cls(quantile=quantile, exact=exact)
-        value = df.agg(probe._quantile().alias("q")).first()["q"]
+        if exact:
+            value = exact_quantile(df, "MonthlyCharges", quantile)
+        else:
+            value = df.agg(cls(quantile=quantile, exact=False)._quantile().alias("q")).first()["q"]
         return cls(mode="fitted", threshold=value, quantile=quantile, exact=exact)
 
     def flag(self, df: DataFrame) -> Column:
@@ -68,7 +72,10 @@ class HighValueThreshold:
             if self.threshold is None:
                 return F.lit(0)
             return F.coalesce((m > F.lit(self.threshold)).cast("int"), F.lit(0))
-        q = df.select(self._quantile()).scalar()
+        if self.unbounded:
+            q = F.lit(exact_quantile(df, "MonthlyCharges", self.quantile)).cast("double")
+        else:
+            q = df.select(self._quantile()).scalar()
         return F.coalesce((m > q).cast("int"), F.lit(0))
 
 

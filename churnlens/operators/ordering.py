@@ -4,17 +4,21 @@ A global "row number in order" over a big table is the classic scale trap: an
 unpartitioned ``Window.orderBy`` pulls every row into one task. Here rows are
 first cut into ordered buckets (a monotone function of the order key). Per-bucket
 counts are aggregated map-side and collected; their size is bounded by the
-bucket count, never by the data. Prefix offsets then turn a window *inside each
-bucket* into a global rank, or, for band assignment (train/test split, CV
-folds), only the few buckets that straddle a cut need row-level ranking at all.
+bucket count, never by the data. For band assignment by a hash (train/test split, CV
+folds) only the few buckets that straddle a cut need row-level ranking at all. Ranks, prefix
+sums and quantiles of given values are taken over ranges of sampled splitters,
+which hold equally many rows whatever the values are.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from fractions import Fraction
-from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,8 +61,11 @@ def hash_bands(
     Rows are ordered inside ``group_col`` by (``order_key``, ``tiebreak``), ranked
     0..n_g-1, and ``band = #{cut in cuts(n_g) : cut <= rank}``. Only buckets that
     contain a cut are ranked row by row; every other row's band follows from its
-    bucket alone, so the window touches ~#cuts/16^hex_digits of the data.
+    bucket alone, so the window touches ~#cuts/16^hex_digits of the data. With more
+    groups than ``max_groups`` ranks come from ranges of (group, order) instead.
     """
+    if df.select(group_col).distinct().limit(max_groups + 1).count() > max_groups:
+        return _many_group_bands(df, group_col, order_key, tiebreak, cuts, band_col)
     work = df.withColumn("_ok", order_key).withColumn("_bk", hex_bucket(F.col("_ok"), hex_digits))
     table = _collect_counts(work, group_col, "_bk", max_groups)
 
@@ -114,34 +121,102 @@ def hash_bands(
     return both.withColumn(band_col, band.cast("int")).drop("_ok", "_bk", "_rib")
 
 
-def global_rank(df: DataFrame, order_col: str, rank_col: str = "rank", buckets: int = 1024) -> DataFrame:
-    """1-based rank of every row by a numeric ``order_col`` (distinct values expected).
+def _many_group_bands(df: DataFrame, group_col: str, order_key: Column, tiebreak: str, cuts, band_col: str) -> DataFrame:
+    """hash_bands() for any number of groups: one range shuffle, and a join with the groups' sizes."""
+    order = [F.asc_nulls_first(group_col), F.col("_ok"), F.asc_nulls_first(tiebreak), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])]
+    placed = prefix_sums(df.withColumn("_ok", order_key).withColumn("_one", F.lit(1).cast("bigint")), order, "_one")
+    placed = placed.checkpoint(eager=True)
+    sizes = placed.groupBy(F.col(group_col).alias("_g")).agg(F.min("before").alias("_first"), F.count("*").alias("_n"))
 
-    Equal-width buckets over [min, max]; bucket offsets are collected (bounded by
-    ``buckets``) and looked up from an array literal, so no join is needed. The
-    window is partitioned by bucket, never global.
+    @F.pandas_udf("array<bigint>")
+    def bounds(n: pd.Series) -> pd.Series:  # one value for each group
+        return n.map(lambda k: cuts(int(k)))
+
+    sizes = sizes.withColumn("_cuts", bounds("_n"))
+    joined = placed.join(sizes, placed[group_col].eqNullSafe(sizes["_g"]))
+    band = F.size(F.filter("_cuts", lambda cut: cut <= F.col("before") - F.col("_first")))
+    return joined.withColumn(band_col, band.cast("int")).select(*df.columns, band_col)
+
+
+def _running(names: list[str], weight: int, offsets: dict[int, int]):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            if total is None:
+                total = offsets[batch.column(len(names))[0].as_py()]
+            own = batch.column(weight).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            before = total + np.cumsum(own) - own
+            total += int(own.sum())
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(names))], pa.array(before)], [*names, "before"])
+
+    return rows
+
+
+def prefix_sums(df: DataFrame, order: list, weight: str, parts: int | None = None) -> DataFrame:
+    """`df` with `before`: the sum of the whole-number column ``weight`` over all rows in front, in the order of ``order``.
+
+    Rows are dealt by ranges of the order (Spark samples the splitters, so ranges hold
+    about equally many rows whatever the values are), sorted where they are, and
+    summed there; one total of each range gives the next ones their start. Rows that agree in
+    ``order`` may stand in any order, so end it with a tie-break: it also splits a value that most rows share.
+    The order is cut into the checkpoint folder, so a lost task finds the same ranges again.
+    """
+    spark = df.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = df.columns
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ranged = ranged.withColumn("_part", F.spark_partition_id()).checkpoint(eager=True)
+    totals = {r["_part"]: r["w"] for r in ranged.groupBy("_part").agg(F.sum(weight).alias("w")).collect()}  # `parts` rows
+    offsets, running = {}, 0
+    for part in sorted(totals):
+        offsets[part] = running
+        running += int(totals[part] or 0)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
+    return ranged.mapInArrow(_running(names, names.index(weight), offsets), ", ".join([*fields, "before bigint"]))
+
+
+def global_rank(df: DataFrame, order_col: str, rank_col: str = "rank", parts: int | None = None) -> DataFrame:
+    """1-based rank of every row by ``order_col``, nulls last; rows with equal values are ranked by their hash.
+
+    No window: the position of a row in its range and the sizes of the ranges in front make the rank.
     """
-    stats = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
-    if stats is None or stats["lo"] is None:
+    spark = df.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.asc_nulls_last(order_col), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])]
+    place = F.monotonically_increasing_id()  # the range in the upper 31 bits, the row in it in the lower 33
+    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_place", place).checkpoint(eager=True)
+    part = F.shiftright("_place", 33).cast("int")
+    sizes = dict(placed.groupBy(part).count().collect())  # `parts` rows
+    starts, running = [], 0
+    for k in range(max(sizes, default=-1) + 1):
+        starts.append(F.lit(running).cast("bigint"))
+        running += sizes.get(k, 0)
+    if not starts:
         return df.withColumn(rank_col, F.lit(None).cast("bigint"))
-    lo, hi = float(stats["lo"]), float(stats["hi"])
-    width = (hi - lo) / buckets if hi > lo else 1.0
-    bucket = F.least(
-        F.floor((F.col(order_col).cast("double") - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1)
-    ).cast("int")
-    # a null order comes last, in the last bucket
-    work = df.withColumn("_bk", F.when(F.col(order_col).isNull(), F.lit(buckets - 1)).otherwise(bucket))
-    counts = _collect_counts(work, None, "_bk", 1).get(None, {})
-    offsets, running = [], 0
-    for b in range(buckets):
-        offsets.append(running)
-        running += counts.get(b, 0)
-    offset_arr = F.array(*[F.lit(o).cast("bigint") for o in offsets])
-    win = Window.partitionBy("_bk").orderBy(F.asc_nulls_last(order_col))
-    return (
-        work.withColumn(rank_col, F.element_at(offset_arr, F.col("_bk") + 1) + F.row_number().over(win))
-        .drop("_bk")
-    )
+    rank = F.element_at(F.array(*starts), part + 1) + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.withColumn(rank_col, rank).drop("_place")
+
+
+def exact_quantile(df: DataFrame, column: str, q: float, parts: int | None = None) -> float | None:
+    """Quantile of a numeric column with linear interpolation, as ``percentile`` gives it; null without values.
+
+    The state is bounded: distinct values are counted by a grouped aggregate, and the
+    prefix sums of their counts name the two values around the rank. Nothing but these two rows
+    and one total of each range reaches the driver.
+    """
+    values = df.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL")
+    counted = values.groupBy("v").agg(F.count("*").alias("n"))
+    placed = prefix_sums(counted, [F.col("v")], "n", parts).checkpoint(eager=True)
+    total = placed.agg(F.max(F.col("before") + F.col("n"))).first()[0]
+    if not total:
+        return None
+    place = q * (total - 1)
+    lower, upper = math.floor(place), math.ceil(place)
+    ends = placed.filter(f"(before <= {lower} AND {lower} < before + n) OR (before <= {upper} AND {upper} < before + n)")
+    low, *rest = sorted(r["v"] for r in ends.select("v").collect())  # two rows at most
+    return low if not rest else (upper - place) * low + (place - lower) * rest[0]
 
 
 def ceil_fraction(frac: float) -> Callable[[int], list[int]]:

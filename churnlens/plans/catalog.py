@@ -311,7 +311,7 @@ _feature_query("f_fiber_no_support", "IsFiberNoSupport")
 @register(
     "f_high_value_fitted",
     O.with_ctes(
-        "SELECT customerID, coalesce(CAST(MonthlyCharges > (SELECT quantile_cont(MonthlyCharges, 0.75) FROM sp WHERE split = 'train') AS INTEGER), 0) AS HighValueCustomer FROM sp WHERE split = 'test'",
+        "SELECT customerID, coalesce(CAST(MonthlyCharges > (SELECT quantile_cont(MonthlyCharges, 0.75) FROM sp WHERE split = 'train') AS INTEGER), 0) AS HighValueCustomer FROM sp",
         O.SPLIT,
         upto=3,
     ),
@@ -319,8 +319,7 @@ _feature_query("f_fiber_no_support", "IsFiberNoSupport")
 def q_f_high_value_fitted(spark, sf):
     split = split_tbl(spark, sf)
     hv = FE.HighValueThreshold.fit(split.where("split = 'train'"))
-    test = split.where("split = 'test'")
-    return test.select("customerID", hv.flag(test).alias("HighValueCustomer"))
+    return split.select("customerID", hv.flag(split).alias("HighValueCustomer"))
 
 
 @register("add_features", O.with_ctes("SELECT * FROM ft", upto=4))
@@ -358,15 +357,19 @@ _ALIGN_SQL = (
     "SELECT customerID, "
     + ", ".join(FE.NUMERIC_FEATURES)
     + ", "
-    + ", ".join(O.onehot_exprs())
-    + " FROM ft WHERE InternetService = 'DSL'"
+    + ", ".join(
+        f"CASE WHEN (SELECT max({value}) FROM ft WHERE InternetService = 'DSL') = 1 THEN {value} ELSE 0 END AS {name}"
+        for value, name in (expr.rsplit(" AS ", 1) for expr in O.onehot_exprs())
+    )
+    + " FROM ft"
 )
 
 
 @register("align_features", O.with_ctes(_ALIGN_SQL, upto=4))
 def q_align_features(spark, sf):
-    dsl = FE.add_features(clean_tbl(spark, sf)).where("InternetService = 'DSL'")
-    encoded = FE.OneHotVocabulary.fit(dsl).transform(dsl)  # levels seen in DSL rows only
+    featured = FE.add_features(clean_tbl(spark, sf))
+    # levels seen in DSL rows only; every customer is encoded with them and aligned to all features
+    encoded = FE.OneHotVocabulary.fit(featured.where("InternetService = 'DSL'")).transform(featured)
     return FE.align_features(encoded, FE.CANONICAL_FEATURES, keep=["customerID"])
 
 

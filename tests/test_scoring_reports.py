@@ -78,7 +78,7 @@ def test_folds_are_balanced(spark):
 def test_global_rank_matches_sort(spark):
     vals = random.Random(1).sample(range(100000), 500)
     df = spark.createDataFrame([(v,) for v in vals], "src_ord long")
-    got = {r["src_ord"]: r["rank"] for r in OR.global_rank(df, "src_ord", "rank", buckets=16).collect()}
+    got = {r["src_ord"]: r["rank"] for r in OR.global_rank(df, "src_ord", "rank", parts=16).collect()}
     assert got == {v: i + 1 for i, v in enumerate(sorted(vals))}
 
 
