@@ -331,13 +331,12 @@ def _classes(source: DataFrame, sketch: DataFrame, same_id: DataFrame | None, nu
         .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     )
     merged = connected_components(lifted).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    # a hot component is split by the left join; members that no star had linked come from the other side
+    alone = merged.join(dealt_anew(nodes.select(F.col("node").alias("component")), "component"), "component", "left_anti")
     found = stored(
-        nodes.join(merged, "component", "full")
-        .select(
-            F.coalesce("node", "component").alias("rep"), F.coalesce("top", "component").alias("component")
-        )
-        .union(merged.select("component", "top"))
-        .distinct()
+        nodes.join(dealt_anew(merged, "component"), "component", "left")
+        .select(F.col("node").alias("rep"), F.coalesce("top", "component").alias("component"))
+        .union(alone.select("component", "top"))
     )
     of_class = reps.select("h1", "h2", "rep").join(found, "rep", "left")
     return (
