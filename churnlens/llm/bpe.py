@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.llm import text as X
-from churnlens.llm.tables import small_batches, unused
+from churnlens.llm.tables import given_back, small_batches, unused
 
 #: Merged misses that a worker remembers before it starts anew.
 REMEMBERED = 150_000
@@ -229,7 +229,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
     Each match of `pattern` is encoded by itself, by the ranks in the file at
     `path` (read by the driver; the vocabulary, not the data, sets the size of
     the broadcast). A null or empty text has no ids. An `ids` column that
-    `docs` has already is replaced.
+    `docs` has already is replaced. A very long text is encoded as a whole; an empty
+    table gives an empty result.
     """
     small_batches(docs.sparkSession)
     source = docs.drop("ids") if "ids" in docs.columns else docs
@@ -266,8 +267,27 @@ def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _coded_rows(shared, last=None):
+    """Encoding, decoding and what `last` makes of it in one worker: the vocabulary is held once, ids cross to the JVM once at most."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coded = _decode_rows(shared, 1)(_encode_rows(shared)(batches))
+        yield from last(coded) if last else coded
+
+    return given_back(rows)
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, ids, decoded) for every row (doc_id, text): encode() and decode() in one pass."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path, pattern))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(_coded_rows(shared), "doc_id long, ids array<int>, decoded binary")
+
+
 def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row of `docs`."""
-    rows = encode(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), path, pattern)
-    back = decode(rows.drop("text"), path, pattern)
-    return back.mapInArrow(_digest_rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path, pattern))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(_coded_rows(shared, _digest_rows), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.llm import text as X
-from churnlens.llm.tables import small_batches
+from churnlens.llm.tables import given_back, small_batches
 
 WINDOW = 10
 #: Test words sent to the tasks at once; a larger test set takes several passes.
@@ -225,7 +225,7 @@ def verbatim_matches(
         source = source.select(*keys, F.xxhash64("__text").alias("__content"), "__text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     schema = f"{fields}, n_words long, matches array<{MATCH}>"
-    parts = [source.mapInArrow(_scan(spark.sparkContext.broadcast(b), window), schema) for b in blocks]
+    parts = [source.mapInArrow(given_back(_scan(spark.sparkContext.broadcast(b), window)), schema) for b in blocks]
     if len(parts) == 1:
         return parts[0]
     found = reduce(DataFrame.unionAll, parts).groupBy(*keys, "__content", "n_words")
@@ -272,7 +272,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     small_batches(spark)
     out = docs
     for block in test_blocks(benchmark, "item_id", "text", window, block_words):
-        out = out.mapInArrow(_clean_rows(spark.sparkContext.broadcast(block), window, docs.columns.index("text")), docs.schema)
+        out = out.mapInArrow(given_back(_clean_rows(spark.sparkContext.broadcast(block), window, docs.columns.index("text"))), docs.schema)
     return out
 
 

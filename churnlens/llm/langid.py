@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.llm import text as X
-from churnlens.llm.tables import if_short, small_batches, stored, unused
+from churnlens.llm.tables import given_back, if_short, small_batches, stored, unused
 
 #: Languages of rows that declare none at all.
 LANGUAGES = ("de", "en", "es", "fr")
@@ -98,7 +98,7 @@ def declared_languages(rows: DataFrame) -> tuple[str, ...]:
 
 def trigram_model(rows: DataFrame, languages: tuple[str, ...]) -> np.ndarray:
     """log P(bucket | language) from all rows that declare one of `languages`; (languages x BUCKETS) numbers."""
-    counted = rows.select("declared", "text").mapInArrow(_count_rows(languages), "l int, bucket int, n long")
+    counted = rows.select("declared", "text").mapInArrow(given_back(_count_rows(languages)), "l int, bucket int, n long")
     counts = np.full((len(languages), BUCKETS), 0.5)
     for r in counted.groupBy("l", "bucket").agg(F.sum("n").alias("n")).collect():  # at most languages x BUCKETS rows
         counts[r.l, r.bucket] += r.n
@@ -188,7 +188,7 @@ def identify(rows: DataFrame, languages: tuple[str, ...] | None = None) -> DataF
     chance = np.full((1, BUCKETS), -np.log(BUCKETS))
     model = spark.sparkContext.broadcast(np.vstack([trigram_model(source, languages), chance]))
     scored = source.mapInArrow(
-        _score_rows(model), "id long, declared string, host string, trigrams long, evidence array<double>"
+        given_back(_score_rows(model)), "id long, declared string, host string, trigrams long, evidence array<double>"
     )
     scored = stored(
         scored.withColumn("reads", F.when(F.col("trigrams") > 0, _argmax(F.col("evidence"), classes))).withColumn(

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from churnlens.llm import text as X
 from churnlens.llm.components import connected_components
-from churnlens.llm.tables import dealt_anew, if_short, small_batches, stored, unused
+from churnlens.llm.tables import dealt_anew, given_back, if_short, small_batches, stored, unused
 
 BANDS, ROWS = 24, 5
 #: A block holds about this many members and, unless one set is larger, this many shingles.
@@ -201,7 +201,7 @@ def near_duplicate_classes(
     small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     columns = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"
-    sketch = stored(source.mapInArrow(_sketch_rows(width), columns))
+    sketch = stored(source.mapInArrow(given_back(_sketch_rows(width)), columns))
     twice = (
         sketch.filter("doc_id IS NOT NULL AND n_shingles > 0")
         .groupBy("doc_id")
@@ -220,7 +220,7 @@ def near_duplicate_classes(
     centre = ids.groupBy("id").agg(F.min("node").alias("b"))
     links = ids.join(centre, "id").select(F.col("node").alias("a"), "b").filter("a <> b")
     source = source.select("doc_id", "text")
-    found = stored(_classes(source, stored(source.mapInArrow(_sketch_rows(width), columns)), links, num, den, width))
+    found = stored(_classes(source, stored(source.mapInArrow(given_back(_sketch_rows(width)), columns)), links, num, den, width))
     named = found.join(ids, found["doc_id"] == ids["node"], "left").select(
         F.coalesce("id", "doc_id").alias("doc_id"), "n_shingles", F.col("component_id").alias("top")
     )
@@ -254,7 +254,7 @@ def _classes(source: DataFrame, sketch: DataFrame, same_id: DataFrame | None, nu
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = stored(
         source.join(if_short(wanted), "doc_id", "left_semi")
-        .mapInArrow(_set_rows(width), "rep long, signature binary, shingles binary")
+        .mapInArrow(given_back(_set_rows(width)), "rep long, signature binary, shingles binary")
         .join(reps.select("rep", F.col("n").alias("size")), "rep")
         .filter(F.length("shingles") == 8 * F.col("size"))
         .dropDuplicates(["rep"])

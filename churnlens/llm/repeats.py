@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.llm import text as X
-from churnlens.llm.tables import dealt_anew, if_short, small_batches, stored, unused
+from churnlens.llm.tables import dealt_anew, given_back, if_short, small_batches, stored, unused
 
 MIN_WORDS, GRAM = 50, 25
 
@@ -208,7 +208,7 @@ def repeated_spans(
     small_batches(docs.sparkSession)
     source = docs.select(text_uid(id_col, text_col).alias("uid"), F.col(text_col).cast("string").alias("text"))
     suffixes = source.mapInArrow(
-        _suffix_rows(min_words, gram), "gram long, context long, uid long, at int, lo int, hi int"
+        given_back(_suffix_rows(min_words, gram)), "gram long, context long, uid long, at int, lo int, hi int"
     )
     shared = suffixes.select("gram").groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
     shared = stored(suffixes.join(dealt_anew(shared, "gram"), "gram", "left_semi"))
@@ -233,7 +233,7 @@ def repeated_spans(
         .join(chosen, "uid")
         .dropDuplicates(["uid"])
         .mapInArrow(
-            _window_rows(min_words, gram),
+            given_back(_window_rows(min_words, gram)),
             "context long, copies long, uid long, start int, lo int, windows array<long>",
         )
     )
@@ -259,7 +259,7 @@ def repeated_spans(
         .groupBy("uid")
         .agg(F.collect_list(F.struct("at", "runs")).alias("found"))
     )
-    return per_text.mapInArrow(_span_rows(min_words), f"uid long, repeated {SPANS}, cut {SPANS}")
+    return per_text.mapInArrow(given_back(_span_rows(min_words)), f"uid long, repeated {SPANS}, cut {SPANS}")
 
 
 def _word_count(spans: str):
@@ -318,5 +318,5 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spans = spans.filter(F.size("cut") > 0).select(F.col("uid").alias(uid), F.col("cut").alias(cut))
     joined = docs.withColumn(uid, text_uid(id_col, text_col)).join(spans, uid, "left")
     return joined.select(*docs.columns, cut).mapInArrow(
-        _cut_rows(docs.columns.index(text_col), docs.columns), docs.schema
+        given_back(_cut_rows(docs.columns.index(text_col), docs.columns)), docs.schema
     )

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +50,26 @@ def dealt_anew(df: DataFrame, *keys: str) -> DataFrame:
     return df.withColumns({key: F.expr(f"`{key}` ^ 0L") for key in keys})
 
 
+def give_memory_back() -> None:
+    """Returns what this worker has freed to the system; a worker lives on through the stages that follow."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def given_back(rows):
+    """The same function on Arrow batches or groups; the task's memory is returned at its end."""
+
+    def run(batches):
+        try:
+            yield from rows(batches)
+        finally:
+            give_memory_back()
+
+    return run
+
+
 #: Rows of whole texts that a Python worker gets at once.
 TEXTS_PER_BATCH = 512
 
