@@ -39,8 +39,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the token ids of the text, and the text decoded from them."""
-    coded = bpe.encode(docs.select("doc_id", "text"), VOCABULARY, public_tokenizers.PATTERN)
-    back = bpe.decode(coded.select("doc_id", "ids"), VOCABULARY, public_tokenizers.PATTERN)
+    back = bpe.round_trip(docs, VOCABULARY, public_tokenizers.PATTERN)
     return back.selectExpr("doc_id", "size(ids) AS n_tokens", "ids", "decode(decoded, 'UTF-8') AS text")
 
 
