@@ -5,19 +5,25 @@ window of MIN_WORDS words, the position whose GRAM-word start has the smallest
 hash. Equal windows select the same position, so two copies of a passage of
 MIN_WORDS words always share a kept suffix whose first GRAM words are equal.
 
-1. `suffixes`: every kept suffix as (gram, context, text, position), where gram
-   stands for its first GRAM words and context for the whole stretch, left and
-   right, that its windows reach. Sorted by gram, neighbours with equal grams
-   are compared; suffixes without an equal neighbour are dropped.
-2. Where all suffixes of a gram have the same context, they repeat as they
+1. `sparse_suffixes`: every kept suffix as (gram, context, text, position),
+   where gram is the hash of its first GRAM words and context that of the whole
+   stretch, left and right, that its windows reach. They are written once.
+2. `sorted_neighbours`: the suffix array, sorted by (gram, context) over ranges of
+   sampled splitters and in each range. A suffix is compared with its two neighbours
+   and dropped if neither starts with the same words; the two at the ends
+   of a range, whose other neighbour is in the next range, stay until step 3.
+   A gram that a third of all suffixes share is spread over several ranges.
+   Where all suffixes of a gram have the same context, they repeat as they
    stand. Equal contexts never need more work than one of them.
 3. Of grams with several contexts, one suffix for each context is extended left
    and right, word by word, over the windows that selected it; these windows
    are compared over the corpus.
 4. The repeated windows of each text are joined into spans.
 
-Every step is a partial-aggregated group or a join; a passage that a third of
-all texts share is one row per task before it is shuffled.
+The order is that of hashes instead of letters: any order that puts equal
+starts side by side does. The steps after the sort are partial-aggregated groups or joins
+of the suffixes that are left; a passage that a third of all texts share is one
+row per task before it is shuffled.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.llm import text as X
-from churnlens.llm.tables import dealt_anew, given_back, if_short, small_batches, stored, unused
+from churnlens.llm.tables import dealt_anew, given_back, if_short, small_batches, stored, unused, written
 
 MIN_WORDS, GRAM = 50, 25
 
@@ -89,6 +95,29 @@ def _suffix_rows(min_words: int, gram: int):
     return rows
 
 
+def _equal_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by gram, those whose gram is that of the row before or after, and the first and last of the task."""
+    held = None  # the last row of the batch before, and whether it is known to stay
+    for batch in batches:
+        if not len(batch):
+            continue
+        gram = batch.column(0).to_numpy()
+        equal = gram[1:] == gram[:-1]
+        keep = np.concatenate(([False], equal)) | np.concatenate((equal, [False]))
+        if held is None:
+            keep[0] = True
+        else:
+            row, stays = held
+            same = row.column(0)[0].as_py() == gram[0]
+            keep[0] |= same
+            if stays or same:
+                yield row
+        yield batch.slice(0, len(batch) - 1).filter(pa.array(keep[:-1]))
+        held = batch.slice(len(batch) - 1), bool(keep[-1])
+    if held is not None:
+        yield held[0]
+
+
 def _window_rows(min_words: int, gram: int):
     """Extends the chosen suffixes of each text: the hashes of all windows that selected them."""
 
@@ -188,6 +217,25 @@ def text_uid(id_col: str = "doc_id", text_col: str = "text"):
     return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
 
 
+SUFFIX = "gram long, context long, uid long, at int, lo int, hi int"
+
+
+def sparse_suffixes(source: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
+    """The kept suffixes of `source` (uid, text), one row each, in the order of the texts."""
+    return source.select("uid", "text").mapInArrow(given_back(_suffix_rows(min_words, gram)), SUFFIX)
+
+
+def sorted_neighbours(suffixes: DataFrame) -> DataFrame:
+    """The suffixes that start like a neighbour in the sorted array, and both ends of each of its ranges.
+
+    A number for each row ends the order, so that a gram, or even a stretch, that most suffixes share is split as well.
+    """
+    order = ["gram", "context", "place"]
+    placed = suffixes.withColumn("place", F.monotonically_increasing_id())
+    ranged = placed.repartitionByRange(*order).sortWithinPartitions(*order)
+    return ranged.select(*suffixes.columns).mapInArrow(_equal_neighbours, SUFFIX)
+
+
 def repeated_spans(
     docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -207,20 +255,17 @@ def repeated_spans(
     """
     small_batches(docs.sparkSession)
     source = docs.select(text_uid(id_col, text_col).alias("uid"), F.col(text_col).cast("string").alias("text"))
-    suffixes = source.mapInArrow(
-        given_back(_suffix_rows(min_words, gram)), "gram long, context long, uid long, at int, lo int, hi int"
-    )
-    shared = suffixes.select("gram").groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
-    shared = stored(suffixes.join(dealt_anew(shared, "gram"), "gram", "left_semi"))
+    shared = stored(sorted_neighbours(written(sparse_suffixes(source, min_words, gram))))
     contexts = stored(
-        dealt_anew(shared, "gram").groupBy("gram", "context", "lo", "hi").agg(
+        shared.groupBy("gram", "context", "lo", "hi").agg(
             F.count("*").alias("copies"), F.min(F.struct("uid", "at")).alias("one")
         )
     )
-    # neighbours that are equal in their whole context repeat as they stand; others have to be extended
+    # neighbours that are equal in their whole context repeat as they stand; others have to be extended.
+    # An end of a range that has no equal anywhere is a context of its own with one copy, in neither group.
     several = contexts.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
     several = dealt_anew(several, "gram")
-    alone = contexts.join(several, "gram", "left_anti").select(
+    alone = contexts.filter("copies > 1").join(several, "gram", "left_anti").select(
         "context", F.array(F.struct("lo", "hi", "one.uid", (F.col("one.at") + F.col("lo")).alias("start"))).alias("runs")
     )
     chosen = stored(
