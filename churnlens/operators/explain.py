@@ -148,3 +148,49 @@ def global_importance(sample: DataFrame, explainer: LinearExplainer, top: int =
         round_half_even(F.col("_m"), 4).alias("mean_abs_impact"),
         round_half_even(F.col("_mx"), 4).alias("max_abs_impact"),
     )
+
+
+QUANTILES = (0.25, 0.5, 0.75)
+
+
+def impact_states(features: DataFrame, explainer: LinearExplainer, key: str = S.KEY, k: int = 2048) -> DataFrame:
+    """Mergeable state of each feature's impacts: count, sum of absolutes, extremes, and a KLL sketch.
+
+    Sketches are built in the map tasks and merged after the shuffle, so a task sends one
+    sketch of about ``k`` values for each feature, however many customers it read. Up to ``k`` customers a
+    sketch holds every value and its quantiles are exact; beyond that a quantile's rank is off by
+    about 2.3 / k^0.9 of the count (99 % of the time). Null impacts are not counted; no customers, no rows.
+    States of other days or tables can be united and passed to `merge_states`.
+    """
+    long = contributions_long(features, explainer, key).filter("impact IS NOT NULL")
+    return long.groupBy("idx", "feature").agg(
+        F.count("*").alias("n"),
+        F.sum(F.abs("impact")).alias("sum_abs"),
+        F.min("impact").alias("least"),
+        F.max("impact").alias("most"),
+        F.kll_sketch_agg_double("impact", F.lit(k)).alias("sketch"),
+    )
+
+
+def merge_states(states: DataFrame) -> DataFrame:
+    """States of several tables or days as one for each feature."""
+    return states.groupBy("idx", "feature").agg(
+        F.sum("n").alias("n"),
+        F.sum("sum_abs").alias("sum_abs"),
+        F.min("least").alias("least"),
+        F.max("most").alias("most"),
+        F.kll_merge_agg_double("sketch").alias("sketch"),
+    )
+
+
+def importance_distribution(states: DataFrame, digits: int = 4) -> DataFrame:
+    """Spread of each feature's impacts over all customers: the numbers behind a beeswarm or box plot.
+
+    Quartiles are the smallest impact with at least that share of customers at or below it.
+    """
+    cuts = F.kll_sketch_get_quantile_double("sketch", F.array(*[F.lit(q) for q in QUANTILES]))
+    named = {"q1_impact": F.col("cuts")[0], "median_impact": F.col("cuts")[1], "q3_impact": F.col("cuts")[2]}
+    spread = {"mean_abs_impact": F.col("sum_abs") / F.col("n"), "min_impact": F.col("least"), **named, "max_impact": F.col("most")}
+    return states.withColumn("cuts", cuts).select(
+        "feature", "n", *[round_half_even(value, digits).alias(name) for name, value in spread.items()]
+    )

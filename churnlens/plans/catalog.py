@@ -560,6 +560,24 @@ def q_global_importance(spark, sf):
     return EX.global_importance(feats, explainer, 15)
 
 
+@register(
+    "importance_distribution",
+    O.with_ctes(
+        f"SELECT feature, count(*) AS n, {O.rnd('avg(abs(impact))', 4)} AS mean_abs_impact, {O.rnd('min(impact)', 4)} AS min_impact, "
+        f"{O.rnd('quantile_disc(impact, 0.25)', 4)} AS q1_impact, {O.rnd('quantile_disc(impact, 0.5)', 4)} AS median_impact, "
+        f"{O.rnd('quantile_disc(impact, 0.75)', 4)} AS q3_impact, {O.rnd('max(impact)', 4)} AS max_impact FROM ct GROUP BY feature",
+        _bg_cte("bg", 300, 42),
+        f"ct AS ({_contrib_sql('oh', 'bg')})",
+        upto=5,
+    ),
+)
+def q_importance_distribution(spark, sf):
+    """Every feature over every customer. The SQL's quartiles are exact; a sketch's are up to 2048 customers, then close."""
+    feats = features_tbl(spark, sf)
+    explainer = EX.LinearExplainer.fit(scorecard(), EX.background_sample(feats, 300, 42))
+    return EX.importance_distribution(EX.impact_states(feats, explainer))
+
+
 @register(
     "explain_first_churner",
     O.with_ctes(
