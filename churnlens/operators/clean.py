@@ -32,6 +32,21 @@ def dedup_keep_first(df: DataFrame, key: str = S.KEY, order_col: str = S.ORDER_C
     return out.select(*[F.col(key) if c == key else F.col(f"_first.{c}").alias(c) for c in df.columns])
 
 
+def dedup_few(df: DataFrame, key: str = S.KEY, order_col: str = S.ORDER_COL) -> DataFrame:
+    """``dedup_keep_first`` for a table with few repeated keys: only their rows are shuffled whole.
+
+    A hash aggregate counts the keys alone. Rows whose key is repeated (a null-safe
+    semi-join, broadcast if the measured list of keys is small) go through
+    ``dedup_keep_first``; all others (the anti-join) pass as they are. Same rows as
+    ``dedup_keep_first``, ties and null orders included. The input is read three
+    times, so it should be a stored table whose row order does not change.
+    """
+    repeated = df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_key")
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    once = df.join(repeated, same, "left_anti")
+    return once.unionByName(dedup_keep_first(df.join(repeated, same, "left_semi"), key, order_col))
+
+
 def dedup_rows(df: DataFrame, order_col: str = S.ORDER_COL) -> DataFrame:
     """No key column: drop whole-row duplicates over business columns, keep first position."""
     cols = _business_columns(df, order_col)

@@ -141,11 +141,14 @@ class OneHotVocabulary:
         cols = [x for x in (columns or S.ENCODED_COLUMNS) if x in df.columns]
         if not cols:
             return cls({})
-        row = df.agg(*[F.collect_set(F.col(x).cast("string")).alias(x) for x in cols]).first()
-        levels = {x: sorted(row[x]) for x in cols}
-        if sum(len(v) for v in levels.values()) > MAX_VOCAB_LEVELS:
+        # distinct rows are reduced in every task; no more than the bound reaches the driver
+        found = vocabulary_table(df, cols).select("column_name", "level").limit(MAX_VOCAB_LEVELS + 1).collect()
+        if len(found) > MAX_VOCAB_LEVELS:
             raise ValueError("vocabulary exceeds its bound; these columns are not categorical")
-        return cls(levels)
+        levels: dict[str, list[str]] = {x: [] for x in cols}
+        for r in found:
+            levels[r["column_name"]].append(r["level"])
+        return cls({x: sorted(v) for x, v in levels.items()})
 
     @classmethod
     def from_domains(cls) -> "OneHotVocabulary":

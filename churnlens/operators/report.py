@@ -9,8 +9,12 @@ contract type holding a third of the rows) costs nothing extra. Fixed domains
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions.exprs import (
@@ -298,12 +302,15 @@ def sort_customers(scored: DataFrame, key: str = "ChurnProbability", descending:
                    id_col: str = S.KEY, collation: str | None = "UNICODE") -> DataFrame:
     """Sort by any column: numbers numerically, text in locale order (ICU root
     collation, like a browser's ``localeCompare``) when ``collation`` is set."""
+    return scored.orderBy(*_sort_order(scored, key, descending, id_col, collation))
+
+
+def _sort_order(scored: DataFrame, key: str, descending: bool, id_col: str, collation: str | None) -> list[Column]:
     col = F.col(key)
     if collation and dict(scored.dtypes).get(key) == "string":
         col = F.collate(col, collation)
     order = col.desc_nulls_last() if descending else col.asc_nulls_first()
-    tie = [F.asc(id_col)] if key != id_col else []
-    return scored.orderBy(order, *tie)
+    return [order] + ([F.asc(id_col)] if key != id_col else [])
 
 
 def top_customers(scored: DataFrame, n: int = 25, key: str = "ChurnProbability") -> DataFrame:
@@ -316,6 +323,62 @@ def page(scored: DataFrame, number: int, size: int = S.PAGE_SIZE, key: str = "Ch
     return sort_customers(scored, key).offset((number - 1) * size).limit(size)
 
 
+PART = "_part"
+
+
+def write_pages(scored: DataFrame, path: str, key: str = "ChurnProbability", descending: bool = True,
+                id_col: str = S.KEY, ranges: int | None = None, distinct_ids: int = 1_000_000) -> str:
+    """Write the customer table for paging and lookup: sorted ranges, their row offsets, bloom filters on the id.
+
+    Ranges follow the order of ``sort_customers`` (sampled splitters, ties by id),
+    so a page lies in one or two of them. The offsets hold one row a range.
+    ``distinct_ids`` is what a bloom filter is sized for: the ids of one row group.
+    Rows equal in key and id stand in either order; an empty table has no ranges.
+    """
+    spark = scored.sparkSession
+    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = _sort_order(scored, key, descending, id_col, "UNICODE")
+    ranged = scored.repartitionByRange(n, *order).withColumn(PART, F.spark_partition_id())
+    (
+        ranged.sortWithinPartitions(PART, *order).write.mode("overwrite").partitionBy(PART)
+        .option(f"parquet.bloom.filter.enabled#{id_col}", "true")
+        .option(f"parquet.bloom.filter.expected.ndv#{id_col}", str(distinct_ids))
+        .parquet(f"{path}/rows")
+    )
+    stored = scored.schema.json()
+    about = [(key, descending, id_col, stored)]
+    spark.createDataFrame(about, "key string, descending boolean, id_col string, stored string").write.mode("overwrite").parquet(f"{path}/about")
+    sizes = sorted(tuple(r) for r in _stored_rows(spark, path, stored).groupBy(PART).count().collect())  # one row a range
+    starts = [0, *accumulate(rows for _, rows in sizes)]
+    index = [(part, start, rows) for (part, rows), start in zip(sizes, starts)]
+    spark.createDataFrame(index, f"{PART} int, first_row long, n_rows long").coalesce(1).write.mode("overwrite").parquet(f"{path}/index")
+    return path
+
+
+def _stored_rows(spark: SparkSession, path: str, stored: str) -> DataFrame:
+    schema = T.StructType.fromJson(json.loads(stored))
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField(PART, T.IntegerType())])).parquet(f"{path}/rows")
+
+
+def read_page(spark: SparkSession, path: str, number: int, size: int = S.PAGE_SIZE) -> DataFrame:
+    """Page ``number`` (1-based) of a table of ``write_pages``: reads the ranges it lies in and no others."""
+    about = spark.read.parquet(f"{path}/about").first()
+    first, end = (number - 1) * size, number * size
+    touched = (
+        spark.read.parquet(f"{path}/index")
+        .where((F.col("first_row") < end) & (F.col("first_row") + F.col("n_rows") > first)).orderBy("first_row").collect()
+    )
+    rows = _stored_rows(spark, path, about["stored"])
+    held = rows.where(F.col(PART).isin([r[PART] for r in touched])).drop(PART)
+    skip = first - touched[0]["first_row"] if touched else 0
+    return sort_customers(held, about["key"], about["descending"], about["id_col"]).offset(skip).limit(size)
+
+
+def stored_customers(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of a table of ``write_pages``; an equality on the id is checked against the bloom filters of the files."""
+    return _stored_rows(spark, path, spark.read.parquet(f"{path}/about").first()["stored"]).drop(PART)
+
+
 def page_after(scored: DataFrame, last_p: float | None, last_id: str | None, size: int = S.PAGE_SIZE) -> DataFrame:
     """Keyset page for deep paging: the rows after the row (last_p, last_id).
 

@@ -135,6 +135,23 @@ def q_dedup_customers(spark, sf):
     return CL.dedup_keep_first(raw(spark, sf))
 
 
+@register("dedup_few", O.with_ctes("SELECT * FROM dd", upto=2))
+def q_dedup_few(spark, sf):
+    """First row of each customer of the stored raw table: only rows of repeated keys are shuffled."""
+    path = scratch_path(spark, "raw-table")
+    IO.write_table(raw(spark, sf), path)
+    return CL.dedup_few(spark.read.parquet(path))
+
+
+@register("read_checked", O.with_ctes("SELECT customerID, Contract, MonthlyCharges, TotalCharges FROM raw", upto=1))
+def q_read_checked(spark, sf):
+    """The raw table as CSV without its order column, read with malformed lines set apart."""
+    path = scratch_path(spark, "customers-plain-csv")
+    IO.write_table(raw(spark, sf).drop(S.ORDER_COL), path, fmt="csv")
+    rows, _ = IO.read_customers_checked(spark, path)
+    return rows.select("customerID", "Contract", "MonthlyCharges", "TotalCharges")
+
+
 _BIZ = [c for c in S.RAW_COLUMNS if c != S.KEY]
 
 
@@ -880,6 +897,16 @@ def q_page_keyset(spark, sf):
     return public(R.page_after(s, last["ChurnProbability"], last["customerID"]))
 
 
+def stored_pages(spark, sf) -> str:
+    return R.write_pages(public(scored(spark, sf)), scratch_path(spark, "pages"))
+
+
+@register("page_stored", O.with_ctes("SELECT * EXCLUDE (p_raw) FROM sc ORDER BY ChurnProbability DESC, customerID LIMIT 25 OFFSET 100"))
+def q_page_stored(spark, sf):
+    """Page 5 of the stored table: read from the range that holds it."""
+    return R.read_page(spark, stored_pages(spark, sf), 5)
+
+
 @register(
     "page_caption",
     O.with_ctes(
@@ -900,6 +927,12 @@ def q_find_customer(spark, sf):
     return public(R.find_customer(scored(spark, sf), FIND_ID))
 
 
+@register("find_customer_stored", O.with_ctes(f"SELECT * EXCLUDE (p_raw) FROM sc WHERE customerID = {O.lit(FIND_ID)} ORDER BY src_ord LIMIT 1"))
+def q_find_customer_stored(spark, sf):
+    """One customer of the stored table: files without the id are skipped by their bloom filters."""
+    return R.find_customer(R.stored_customers(spark, stored_pages(spark, sf)), FIND_ID)
+
+
 @register("customer_choices", O.with_ctes("SELECT customerID, src_ord FROM sc ORDER BY src_ord LIMIT 500"))
 def q_customer_choices(spark, sf):
     return R.customer_choices(scored(spark, sf))

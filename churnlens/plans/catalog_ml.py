@@ -303,3 +303,25 @@ def q_score_batch_lr(spark, sf):
     fm = TR.fit("LogisticRegression", ts)
     scorer = TR.to_linear_scorer(fm, ts)
     return public(SC.score_batch(raw(spark, sf), scorer))
+
+
+@register("saved_pipeline", None)
+def q_saved_pipeline(spark, sf):
+    """Preparation and model as one saved pipeline: every raw row scored by it before saving and after loading."""
+    from pyspark.ml import PipelineModel
+
+    from ..operators import stages as SG
+    from .catalog import raw
+
+    table = scratch_path(spark, "pipeline-raw")
+    raw(spark, sf).write.parquet(table)
+    rows = spark.read.parquet(table)
+    model = SG.fit_churn_pipeline(rows, "LogisticRegression")
+    path = scratch_path(spark, "pipeline-model")
+    model.write().overwrite().save(path)
+    key = [S.KEY, S.ORDER_COL]
+    before = SG.score_customers(model, rows).select(*key, F.col("p_raw").alias("p_before"))
+    after = SG.score_customers(PipelineModel.load(path), rows).select(*key, F.col("p_raw").alias("p_after"))
+    joined = before.join(after, key)
+    same = F.col("p_before").eqNullSafe(F.col("p_after")).alias("identical")
+    return joined.select(*key, round_half_even(F.col("p_after"), 6).alias("p"), same)
