@@ -5,8 +5,9 @@ word positions that can start a match, sorted by the words that follow. Every
 test suffix is found in it by binary search, which gives the range of training
 positions that hold a window; matches on the same diagonal are joined into
 maximal verbatim matches with their locations. Shards hold whole documents, so
-their results need no shuffle. The test set is sent to the tasks in blocks of
-bounded size; one pass over the shards is made for each block.
+their results need no shuffle. The test set is hashed in tasks and written in
+blocks of bounded size, which are sent one at a time; one pass over the shards
+is made for each block.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.llm import text as X
-from churnlens.llm.tables import given_back, small_batches
+from churnlens.llm.tables import given_back, small_batches, written
+from churnlens.session import scratch_path
 
 WINDOW = 10
 #: Test words sent to the tasks at once; a larger test set takes several passes.
@@ -49,11 +51,10 @@ class TestBlock:
         self.bitmap[self.heads >> np.uint64(64 - _FILTER_BITS)] = True
 
 
-def test_block(item_ids: list[int], texts: list[str | None], window: int) -> TestBlock:
+def test_block(item_ids: list[int], hashed: list[np.ndarray], window: int) -> TestBlock:
+    """The block of these items; `hashed` holds the word hashes of each."""
     parts, suffix, length, item, offset, base = [], [], [], [], [], 0
-    for k, text in enumerate(texts):
-        raw = np.frombuffer((text or "").encode(), np.uint8)
-        words = X.find_words(raw, np.array([0, len(raw)]), X.ALNUM, lower=True).hash if len(raw) else raw[:0]
+    for k, words in enumerate(hashed):
         n = len(words)
         if n == 0:
             continue
@@ -184,19 +185,45 @@ def _result(batch, words, at, which, docs, test) -> pa.RecordBatch:
     )
 
 
-def test_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_words: int) -> Iterator[TestBlock]:
-    """The test set in blocks of about `block_words` words (at least one item each), read one after the other."""
-    ids, texts, size = [], [], 0
-    rows = benchmark.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).filter(F.col(id_col).isNotNull())
-    for item_id, text in rows.distinct().toLocalIterator():
-        ids.append(item_id)
-        texts.append(text)
-        size += len(text or "") // 2 + 1  # at most so many words
-        if size >= block_words:
-            yield test_block(ids, texts, window)
-            ids, texts, size = [], [], 0
-    if ids:
-        yield test_block(ids, texts, window)
+def _hashed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, hi, data, bounds in X.text_slices(batch.column(1)):
+            words = X.find_words(data, bounds, X.ALNUM, lower=True)
+            n = np.diff(words.first)
+            hashes = [words.hash[a:b].tobytes() for a, b in zip(words.first[:-1], words.first[1:])]
+            columns = [batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(hashes, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["item_id", "n", "words"])
+
+
+@dataclass
+class TestSet:
+    """The hashed words of the test items, written in blocks of about `block_words` words."""
+
+    items: DataFrame  # item_id, n, words, block
+    n_blocks: int
+    window: int
+
+    def blocks(self) -> Iterator[TestBlock]:
+        """One block after the other; only one is in the driver at a time, and an empty set has one empty block."""
+        for k in range(self.n_blocks):
+            rows = self.items.filter(F.col("block") == k).select("item_id", "words").collect()
+            rows.sort(key=lambda r: (r.item_id, bytes(r.words)))
+            yield test_block([r.item_id for r in rows], [np.frombuffer(r.words, np.uint64) for r in rows], self.window)
+
+
+def test_set(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_words: int) -> TestSet:
+    """Hashes the test items in tasks and deals them to blocks by id; an item is never cut."""
+    rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.filter("item_id IS NOT NULL").mapInArrow(_hashed_rows, "item_id long, n long, words binary")
+    hashed = written(rows.filter("n > 0").distinct())
+    total = hashed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n_blocks = max(1, -(-total // block_words))
+    block = F.pmod(F.xxhash64("item_id"), F.lit(n_blocks))
+    if n_blocks == 1:
+        return TestSet(hashed.withColumn("block", block), 1, window)
+    path = scratch_path(benchmark.sparkSession, "test-blocks")
+    hashed.withColumn("block", block).repartition("block").write.partitionBy("block").parquet(path)
+    return TestSet(benchmark.sparkSession.read.parquet(path), n_blocks, window)
 
 
 def verbatim_matches(
@@ -220,14 +247,20 @@ def verbatim_matches(
     spark = docs.sparkSession
     small_batches(spark)
     source = docs.select(*keys, F.col(text_col).cast("string").alias("__text"))
-    blocks = list(test_blocks(benchmark, "item_id", "text", window, block_words)) or [test_block([], [], window)]
-    if len(blocks) > 1:  # several passes: the matches of a text are brought together by its keys and content
+    test = test_set(benchmark, "item_id", "text", window, block_words)
+    if test.n_blocks > 1:  # several passes: the matches of a text are brought together by its keys and content
         source = source.select(*keys, F.xxhash64("__text").alias("__content"), "__text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     schema = f"{fields}, n_words long, matches array<{MATCH}>"
-    parts = [source.mapInArrow(given_back(_scan(spark.sparkContext.broadcast(b), window)), schema) for b in blocks]
-    if len(parts) == 1:
-        return parts[0]
+    parts = []
+    for block in test.blocks():
+        sent = spark.sparkContext.broadcast(block)
+        found = source.mapInArrow(given_back(_scan(sent, window)), schema)
+        if test.n_blocks == 1:
+            return found
+        # each pass is written before the next block is read, so one block is in memory at a time
+        parts.append(written(found))
+        sent.unpersist()
     found = reduce(DataFrame.unionAll, parts).groupBy(*keys, "__content", "n_words")
     found = found.agg(
         F.flatten(F.collect_list("matches")).alias("matches"),
@@ -270,9 +303,13 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     """`docs` without the rows whose text holds a verbatim window of the test set; same columns."""
     spark = docs.sparkSession
     small_batches(spark)
-    out = docs
-    for block in test_blocks(benchmark, "item_id", "text", window, block_words):
-        out = out.mapInArrow(given_back(_clean_rows(spark.sparkContext.broadcast(block), window, docs.columns.index("text"))), docs.schema)
+    test, out = test_set(benchmark, "item_id", "text", window, block_words), docs
+    for block in test.blocks():
+        sent = spark.sparkContext.broadcast(block)
+        out = out.mapInArrow(given_back(_clean_rows(sent, window, docs.columns.index("text"))), docs.schema)
+        if test.n_blocks > 1:
+            out = written(out)
+            sent.unpersist()
     return out
 
 
