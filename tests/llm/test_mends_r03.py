@@ -2,10 +2,12 @@
 
 import json
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from churnlens.llm import bpe, chat, html_text, langid, minhash, quality_rules, repeats
+from churnlens.llm import bpe, chat, html_text, langid, minhash, quality_model, quality_rules, repeats
 from churnlens.session import ship_package
 from test_words_ops import brute_near
 
@@ -116,3 +118,39 @@ def test_clashing_names(spark):
     assert got["__text"] == "mine" and len(got.ids) > 3
     assert repeats.cut_repeats(odd).first().cut == "mine"
     assert html_text.extract(odd.withColumnRenamed("text", "html")).first().source == "s"
+
+
+def test_covariance_weights_come_from_training_folds(spark):
+    """Fold sums give the models of a direct fit, and rows that are held out have no say."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    first = {r.doc_id: r.score for r in quality_model.score(docs, labels).collect()}
+    turned = labels.withColumn("quality", F.when(quality_model.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
+    again = {r.doc_id: r.score for r in quality_model.score(docs, turned).collect()}
+    assert first.keys() == again.keys() and all(abs(first[k] - again[k]) < 1e-9 for k in first)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(3, 1, (80, 10)), rng.normal(4, 2, (60, 10))])
+    y = np.repeat([0, 1], [80, 60])
+    fields = ", ".join(f"{name} double" for name in quality_model.FEATURES)
+    table = [(k, *map(float, r), int(c)) for k, (r, c) in enumerate(zip(x, y))]
+    rows = spark.createDataFrame(table, f"doc_id long, {fields}, label int").withColumn("fold", F.expr("int(doc_id % 5)"))
+    centre, folds = quality_model.grouped_sums(rows)
+    tried = quality_model.trials(rows, centre, folds)
+    wrong = dict.fromkeys(range(len(quality_model.WEIGHTS)), 0)
+    for f in range(5):
+        mine = np.arange(140) % 5 == f
+        parts = [x[(y == c) & ~mine] for c in (0, 1)]
+        shares = np.array([len(p) for p in parts]) / (~mine).sum()
+        covs = [np.cov(p.T, bias=True) for p in parts]
+        pooled = shares[0] * covs[0] + shares[1] * covs[1]
+        scale = np.sqrt(np.diag(pooled))
+        for k, (a, b) in enumerate(quality_model.WEIGHTS):
+            logs = []
+            for p, cov in zip(parts, covs):
+                own = ((1 - a) * cov + a * pooled) / np.outer(scale, scale)
+                own = (1 - b) * own + b * np.trace(own) / 10 * np.eye(10)
+                z = (x[mine] - p.mean(axis=0)) / scale
+                logs.append(-0.5 * (z * np.linalg.solve(own, z.T).T).sum(axis=1) - 0.5 * np.linalg.slogdet(own)[1])
+            margin = (logs[1] - logs[0]) / quality_model.TEMPERATURE + np.log(shares[1] / shares[0])
+            wrong[k] += int(((1 / (1 + np.exp(-margin)) >= 0.3) != (y[mine] == 1)).sum())
+    assert {k: w for w, _, k in tried} == wrong
