@@ -11,6 +11,7 @@ from .clean import assign_row_ids, clean, impute_total_online
 from .explain import reasons_struct
 from .features import add_features, encode_for
 from .validate import apply_defaults
+from .trees import TreeExplainer, dealt_to_tasks
 
 
 def feature_frame(df: DataFrame, scorer, high_value="batch", keep=(S.KEY, S.ORDER_COL)) -> DataFrame:
@@ -31,6 +32,8 @@ def attach_scores(clean_df: DataFrame, scorer, high_value="batch", round_digits:
     the feature expressions are evaluated inline and only ``p_raw`` survives.
     """
     featured = add_features(clean_df, high_value)
+    if isinstance(explainer, TreeExplainer):
+        featured = dealt_to_tasks(featured)
     encoded = encode_for(featured, scorer.feature_names, keep=list(featured.columns))
     scored = scorer.score(encoded, out="p_raw")
     p = F.col("p_raw")

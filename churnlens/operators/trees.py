@@ -36,8 +36,10 @@ from pyspark.sql import functions as F
 from ..functions.exprs import c
 from ..session import scratch_path
 
-#: Numbers of one slice (customers x leaves x path features) that a task holds.
-SLICE_NUMBERS = 1 << 22
+#: Numbers of one slice (customers x leaves x path features) that a task goes through at once.
+SLICE_NUMBERS = 1 << 25
+#: Pairs of a case and a background group that a task holds.
+PAIRS = 1 << 20
 
 
 @dataclass
@@ -161,19 +163,25 @@ class Ensemble:
         missed = tree.misses(x)
         cases, case_of = np.unique((np.arange(leaves) << width) | missed, return_inverse=True)
         leaf, own = cases >> width, cases & ((1 << width) - 1)
-        # every case meets the background groups of its leaf
-        size = first[leaf + 1] - first[leaf]
-        case = np.repeat(np.arange(len(cases)), size)
-        group = np.arange(len(case)) + np.repeat(first[leaf] - np.cumsum(size) + size, size)
-        met = (masks[group] & own[case]) == 0  # no feature that both miss
-        case, group = case[met], group[met]
-        u, v = _bits(masks[group]), _bits(own[case])
-        weight = tree.value[leaf[case]] * shares[group]
-        for_u = weight * self.taken[u, v]
-        for_v = np.bincount(case, weight * self.taken[v, u], len(cases))
-        parts = np.empty((width, len(cases)))
-        for k in range(width):
-            parts[k] = np.bincount(case, for_u * (masks[group] >> k & 1), len(cases)) - for_v * (own >> k & 1)
+        # every case meets the background groups of its leaf, in runs of cases with a bounded number of pairs
+        sizes = first[leaf + 1] - first[leaf]
+        parts = np.zeros((width, len(cases)))
+        ends = np.cumsum(sizes)
+        lo = 0
+        while lo < len(cases):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, side="right")))
+            size, mine = sizes[lo:hi], own[lo:hi]
+            case = np.repeat(np.arange(hi - lo), size)
+            group = np.arange(len(case)) + np.repeat(first[leaf[lo:hi]] - np.cumsum(size) + size, size)
+            met = (masks[group] & mine[case]) == 0  # no feature that both miss
+            case, group = case[met], group[met]
+            u, v = _bits(masks[group]), _bits(mine[case])
+            weight = tree.value[leaf[lo:hi][case]] * shares[group]
+            for_u = weight * self.taken[u, v]
+            for_v = np.bincount(case, weight * self.taken[v, u], hi - lo)
+            for k in range(width):
+                parts[k, lo:hi] = np.bincount(case, for_u * (masks[group] >> k & 1), hi - lo) - for_v * (mine >> k & 1)
+            lo = hi
         some = parts.any(axis=0)
         case_of = case_of.reshape(missed.shape)
         row, at = np.nonzero(some[case_of])
@@ -234,8 +242,15 @@ class TreeExplainer:
         )
 
 
+def dealt_to_tasks(df: DataFrame) -> DataFrame:
+    """`df` dealt over all tasks: its rows are few bytes for the work that each takes, so the sizes of files or
+    shuffles would leave them in a few partitions."""
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def tree_shapley(features: DataFrame, explainer: TreeExplainer, key: str) -> DataFrame:
     """Long (key, feature, idx, phi) for every row of `features`."""
     names = F.array(*[F.lit(f) for f in explainer.feature_names])
-    long = features.select(F.col(key), F.posexplode(explainer.impacts()).alias("idx", "phi"))
+    long = dealt_to_tasks(features).select(F.col(key), F.posexplode(explainer.impacts()).alias("idx", "phi"))
     return long.select(key, F.element_at(names, F.col("idx") + 1).alias("feature"), "idx", "phi")
