@@ -10,7 +10,11 @@ and none of V from x, so with u = |U|, v = |V| the leaf's Shapley values are
     + value (u - 1)! v! / (u + v)!  for each feature of U
     - value u! (v - 1)! / (u + v)!  for each feature of V
 
-and none at all if neither keeps some feature. Background rows that fail the same features
+and none at all if neither keeps some feature. A leaf's values depend on a customer only by the set of
+features that the customer fails, so they are worked out once for every set (TABLE_BITS features at most) and
+looked up for each customer. With the weights as integrals, (u - 1)! v! / (u + v)! = int t^(u - 1) (1 - t)^v dt over
+0 to 1, the sum over the background rows for every set is one sum over subsets at each node of a quadrature that is exact
+for these powers. On longer paths background rows that fail the same features
 of a leaf are one group with a count, and customers that fail the same ones are one case.
 
 Leaves and background are one broadcast, whose size the model's parameters set
@@ -22,6 +26,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from math import factorial
+from typing import Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,51 +41,68 @@ from pyspark.sql import functions as F
 from ..functions.exprs import c
 from ..session import scratch_path
 
-#: Numbers of one slice (customers x leaves x path features) that a task goes through at once.
+#: Numbers of one slice (customers x leaves) that a task goes through at once.
 SLICE_NUMBERS = 1 << 25
 #: Pairs of a case and a background group that a task holds.
 PAIRS = 1 << 20
+#: Numbers of the tables of some leaves that a task works out at once: few enough for a cache of a core.
+TABLE_NUMBERS = 1 << 17
+#: Rows that a task holds before it explains them, as the tables of the trees are worked out once for them.
+HELD_ROWS = 40_000
+#: Path features of a leaf up to which its values are worked out for every set of them.
+TABLE_BITS = 12
 
 
 @dataclass
 class Tree:
-    """Leaves of one tree: (leaves x path features) features and intervals (low, high], and the leaves' values."""
+    """Leaves of one tree: (leaves x path features) features, the number of them that a leaf has, and the leaves' values.
+
+    `nodes` are the steps down to them: (feature, threshold, bit of the feature on the path, left, right), or -1 and the leaf.
+    """
 
     feature: np.ndarray
-    low: np.ndarray
-    high: np.ndarray
+    width: np.ndarray
     value: np.ndarray
+    nodes: list[tuple]
 
     def misses(self, x: np.ndarray) -> np.ndarray:
-        """For each row of `x` and leaf, a bit for every path feature outside its interval. NaN goes right, as in the model."""
-        out = np.zeros((len(x), len(self.value)), np.int64)
-        for k in range(self.feature.shape[1]):
-            at = x[:, self.feature[:, k]]
-            inside = ~(at <= self.low[:, k]) & ((at <= self.high[:, k]) | np.isposinf(self.high[:, k]))
-            out |= (~inside).astype(np.int64) << k
+        """(leaves x rows): a bit for every path feature outside its interval; `x` is (features x rows). NaN goes right, as in the model."""
+        kind = np.int16 if self.feature.shape[1] < 15 else np.int64
+        out = np.zeros((len(self.value), x.shape[1]), kind)
+        stack = [(0, np.zeros(x.shape[1], kind))]
+        while stack:
+            at, missed = stack.pop()
+            feature, threshold, bit, left, right = self.nodes[at]
+            if feature < 0:
+                out[left] = missed
+                continue
+            inside = (x[feature] <= threshold).astype(kind) << kind(bit)
+            stack.append((right, missed | inside))
+            stack.append((left, missed | (inside ^ kind(1 << bit))))
         return out
 
 
 def _tree(nodes: dict[int, tuple], scale: float) -> Tree:
     """Leaves of the nodes {id: (value, left, right, feature, threshold)} of one tree."""
-    paths, values, stack = [], [], [(0, {})]
+    paths, values, steps, place, stack = [], [], [], {}, [(0, [])]
     while stack:
         at, path = stack.pop()
+        place[at] = len(steps)
         value, left, right, feature, threshold = nodes[at]
         if left < 0:
+            steps.append((-1, 0.0, 0, len(paths), 0))
             paths.append(path)
             values.append(value * scale)
             continue
-        low, high = path.get(feature, (-np.inf, np.inf))
-        stack.append((right, path | {feature: (max(low, threshold), high)}))
-        stack.append((left, path | {feature: (low, min(high, threshold))}))
-    width = max([1, *map(len, paths)])
-    feature = np.zeros((len(paths), width), np.int64)
-    low, high = np.full((len(paths), width), -np.inf), np.full((len(paths), width), np.inf)
+        path = path if feature in path else [*path, feature]
+        steps.append((feature, threshold, path.index(feature), left, right))
+        stack += [(right, path), (left, path)]
+    width = np.array([len(path) for path in paths])
+    feature = np.zeros((len(paths), max(1, width.max())), np.int64)
     for k, path in enumerate(paths):
-        for j, (f, (a, b)) in enumerate(sorted(path.items())):
-            feature[k, j], low[k, j], high[k, j] = f, a, b
-    return Tree(feature, low, high, np.array(values))
+        feature[k, : len(path)] = path
+    steps = [step if step[0] < 0 else (*step[:3], place[step[3]], place[step[4]]) for step in steps]
+    return Tree(feature, width, np.array(values), steps)
 
 
 def read_trees(spark: SparkSession, model) -> list[Tree]:
@@ -124,10 +146,10 @@ def _bits(masks: np.ndarray) -> np.ndarray:
 
 
 class Ensemble:
-    """Trees with the background rows grouped by what they miss; scores and explains rows of features."""
+    """Trees with background rows; scores and explains rows of features."""
 
     def __init__(self, trees: list[Tree], background: np.ndarray):
-        self.trees, self.n_background = trees, len(background)
+        self.trees, self.background = trees, background
         most = max(t.feature.shape[1] for t in trees)
         if most > 40:
             raise ValueError("a path has more than 40 features")
@@ -135,34 +157,77 @@ class Ensemble:
         for u in range(1, most + 1):
             for v in range(most + 1 - u):
                 self.taken[u, v] = factorial(u - 1) * factorial(v) / factorial(u + v)
-        self.groups = []
-        for tree in trees:
-            masks = tree.misses(background)
-            leaf = np.broadcast_to(np.arange(len(tree.value)), masks.shape)
-            keys, counts = np.unique(np.stack([leaf.ravel(), masks.ravel()], axis=1), axis=0, return_counts=True)
-            first = np.searchsorted(keys[:, 0], np.arange(len(tree.value) + 1))
-            self.groups.append((keys[:, 1], counts / len(background), first))
         self.baseline = float(np.mean(self.score(background)))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """The model's output for each row: probability, or log-odds of boosted trees."""
-        return sum(((tree.misses(x) == 0) @ tree.value for tree in self.trees), np.zeros(len(x)))
+        columns = np.ascontiguousarray(x.T)
+        out = np.zeros(len(x))
+        for tree in self.trees:
+            step = max(1, SLICE_NUMBERS // len(tree.value))
+            for lo in range(0, len(x), step):
+                out[lo : lo + step] += tree.value @ (tree.misses(columns[:, lo : lo + step]) == 0)
+        return out
 
     def explain(self, x: np.ndarray) -> np.ndarray:
         """(rows x features) Shapley values; each row sums to its score less the baseline."""
-        out = np.zeros(x.shape)
-        for tree, groups in zip(self.trees, self.groups):
-            step = max(1, SLICE_NUMBERS // tree.feature.size)
+        columns, out = np.ascontiguousarray(x.T), np.zeros(x.shape[::-1])
+        background = np.ascontiguousarray(self.background.T)
+        for tree in self.trees:
+            own = tree.misses(background)
+            step = max(1, SLICE_NUMBERS // len(tree.value))
             for lo in range(0, len(x), step):
-                self._add(tree, groups, x[lo : lo + step], out[lo : lo + step])
-        return out
-
-    def _add(self, tree: Tree, groups: tuple, x: np.ndarray, out: np.ndarray) -> None:
+                missed = tree.misses(columns[:, lo : lo + step])
+                for width in np.unique(tree.width[tree.width > 0]):
+                    leaves = np.flatnonzero(tree.width == width)
+                    add = self._add_tables if width <= TABLE_BITS else self._add_cases
+                    add(tree, leaves, int(width), own, missed, out[:, lo : lo + step])
+        return np.ascontiguousarray(out.T)
+
+    def _add_tables(self, tree: Tree, leaves: np.ndarray, width: int, own: np.ndarray, missed: np.ndarray, out: np.ndarray) -> None:
+        """Adds the values of leaves with as many path features, looked up by the features that a row misses."""
+        nodes, weights = np.polynomial.legendre.leggauss((width + 1) // 2)
+        sets = np.arange(1 << width)
+        size = _bits(sets)[:, None]
+        more = sets | (1 << np.arange(width))[:, None]  # each set with one feature more
+        step = max(1, TABLE_NUMBERS // (width << width))
+        part = np.empty(missed.shape[1])
+        for lo in range(0, len(leaves), step):
+            some = leaves[lo : lo + step]
+            where = own[some].astype(np.int64) * len(some) + np.arange(len(some))[:, None]
+            shares = np.bincount(where.ravel(), minlength=len(sets) * len(some)).reshape(len(sets), -1) / own.shape[1]
+            now, then = np.zeros((2, *shares.shape))
+            for t, w in zip((nodes + 1) / 2, weights / 2):
+                held = shares * t**size
+                for k in range(width):  # summed over all subsets of a set
+                    halves = held.reshape(len(sets) >> (k + 1), 2, -1)
+                    halves[:, 1] += halves[:, 0]
+                # background rows that miss no feature of the set, by what it gives to the others and to one more
+                held = held[::-1] * (w * (1 - t) ** (size - 1) / t)
+                then += held
+                now += held * (1 - t)
+            now, then = (np.ascontiguousarray(x.T) * tree.value[some][:, None] for x in (now, then))
+            values = np.take(then, more, axis=1)
+            np.subtract(now[:, None, :], values, out=values)
+            for leaf, table in zip(some, values):
+                at = missed[leaf].astype(np.intp)
+                for k in range(width):
+                    table[k].take(at, out=part, mode="clip")
+                    out[tree.feature[leaf, k]] += part
+
+    def _add_cases(self, tree: Tree, leaves: np.ndarray, width: int, own: np.ndarray, missed: np.ndarray, out: np.ndarray) -> None:
+        """Adds the values of leaves with as many path features, by pairs of cases and background groups."""
+        step = max(1, SLICE_NUMBERS // (len(leaves) * width))
+        at = np.broadcast_to(np.arange(len(leaves))[:, None], (len(leaves), own.shape[1]))
+        keys, counts = np.unique(np.stack([at.ravel(), own[leaves].ravel()], axis=1), axis=0, return_counts=True)
+        groups = keys[:, 1], counts / own.shape[1], np.searchsorted(keys[:, 0], np.arange(len(leaves) + 1))
+        for lo in range(0, missed.shape[1], step):
+            self._add_slice(tree, leaves, width, groups, missed[leaves, lo : lo + step].T, out[:, lo : lo + step])
+
+    def _add_slice(self, tree: Tree, leaves: np.ndarray, width: int, groups: tuple, missed: np.ndarray, out: np.ndarray) -> None:
         masks, shares, first = groups
-        leaves, width = tree.feature.shape
-        missed = tree.misses(x)
-        cases, case_of = np.unique((np.arange(leaves) << width) | missed, return_inverse=True)
-        leaf, own = cases >> width, cases & ((1 << width) - 1)
+        cases, case_of = np.unique((np.arange(len(leaves)) << width) | missed, return_inverse=True)
+        leaf, mine_of = cases >> width, cases & ((1 << width) - 1)
         # every case meets the background groups of its leaf, in runs of cases with a bounded number of pairs
         sizes = first[leaf + 1] - first[leaf]
         parts = np.zeros((width, len(cases)))
@@ -170,13 +235,13 @@ class Ensemble:
         lo = 0
         while lo < len(cases):
             hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, side="right")))
-            size, mine = sizes[lo:hi], own[lo:hi]
+            size, mine = sizes[lo:hi], mine_of[lo:hi]
             case = np.repeat(np.arange(hi - lo), size)
             group = np.arange(len(case)) + np.repeat(first[leaf[lo:hi]] - np.cumsum(size) + size, size)
             met = (masks[group] & mine[case]) == 0  # no feature that both miss
             case, group = case[met], group[met]
             u, v = _bits(masks[group]), _bits(mine[case])
-            weight = tree.value[leaf[lo:hi][case]] * shares[group]
+            weight = tree.value[leaves[leaf[lo:hi][case]]] * shares[group]
             for_u = weight * self.taken[u, v]
             for_v = np.bincount(case, weight * self.taken[v, u], hi - lo)
             for k in range(width):
@@ -187,7 +252,7 @@ class Ensemble:
         row, at = np.nonzero(some[case_of])
         which = case_of[row, at]
         for k in range(width):
-            where = row * x.shape[1] + tree.feature[at, k]
+            where = tree.feature[leaves[at], k] * out.shape[1] + row
             out += np.bincount(where, parts[k][which], out.size).reshape(out.shape)
 
 
@@ -221,12 +286,24 @@ class TreeExplainer:
 
     def impacts(self) -> Column:
         """array<double>: the Shapley value of every feature, in list order."""
-        shared = self.shared
+        shared, width = self.shared, len(self.feature_names)
 
         @F.pandas_udf("array<double>")
-        def explained(x: pd.Series) -> pd.Series:
-            rows = np.array([np.array(r, np.float64) for r in x]) if len(x) else np.empty((0, 1))
-            return pd.Series(list(shared.value.explain(rows)) if len(x) else [], dtype=object)
+        def explained(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            held: list[np.ndarray] = []
+
+            def values():
+                phi = shared.value.explain(np.concatenate(held))
+                ends = np.cumsum([len(rows) for rows in held])
+                return [pd.Series(list(part), dtype=object) for part in np.split(phi, ends[:-1])]
+
+            for x in batches:
+                held.append(np.array([np.array(r, np.float64) for r in x]) if len(x) else np.empty((0, width)))
+                if sum(map(len, held)) >= HELD_ROWS:
+                    yield from values()
+                    held = []
+            if held:
+                yield from values()
 
         return explained(self.inputs())
 
@@ -243,10 +320,9 @@ class TreeExplainer:
 
 
 def dealt_to_tasks(df: DataFrame) -> DataFrame:
-    """`df` dealt over all tasks: its rows are few bytes for the work that each takes, so the sizes of files or
-    shuffles would leave them in a few partitions."""
-    spark = df.sparkSession
-    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    """`df` dealt over all cores: its rows are few bytes for the work that each takes, so the sizes of files or shuffles would
+    leave them in a few partitions. One task a core, as each works out the tables of the trees for itself."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def tree_shapley(features: DataFrame, explainer: TreeExplainer, key: str) -> DataFrame:
